@@ -10,6 +10,7 @@ from graphloom.llm.line_dedup import OP2_SQL, op2_columns
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.quality_rules import quality_rules
 from graphloom.llm.shared import table
+from graphloom.llm.toxicity import toxicity
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +25,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_near_dedup, op5_quality_rules)}
+    return {f.__name__: f for f in (op2_line_dedup, op4_near_dedup, op5_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
