@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.line_dedup import OP2_SQL, op2_columns
 from graphloom.llm.near_dedup import near_duplicates
+from graphloom.llm.packing import pack
 from graphloom.llm.quality_rules import quality_rules
 from graphloom.llm.shared import table
 from graphloom.llm.toxicity import toxicity
@@ -25,12 +26,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_near_dedup, op5_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op2_line_dedup, op4_near_dedup, op5_quality_rules, op8_packing, op10_toxicity)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
