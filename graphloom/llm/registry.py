@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.line_dedup import OP2_SQL, op2_columns
 from graphloom.llm.near_dedup import near_duplicates
+from graphloom.llm.nearest import nearest_neighbours
 from graphloom.llm.packing import pack
 from graphloom.llm.quality_rules import quality_rules
 from graphloom.llm.shared import table
@@ -30,6 +31,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,7 +46,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_near_dedup, op5_quality_rules, op8_packing, op10_toxicity)} | {"pipeline": pipeline}
+    return {f.__name__: f for f in (op2_line_dedup, op4_near_dedup, op5_quality_rules, op8_packing, op9_nearest_neighbours, op10_toxicity)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
