@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.extraction import extract_main_text
 from graphloom.llm.line_dedup import OP2_SQL, op2_columns
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.nearest import nearest_neighbours
@@ -27,6 +28,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_near_dedup, op5_quality_rules, op8_packing, op9_nearest_neighbours, op10_toxicity)} | {"pipeline": pipeline}
+    return {f.__name__: f for f in (op2_line_dedup, op4_near_dedup, op5_quality_rules, op7_html_extraction, op8_packing, op9_nearest_neighbours, op10_toxicity)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
