@@ -11,6 +11,7 @@ from graphloom.llm.line_dedup import OP2_SQL, op2_columns
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.nearest import nearest_neighbours
 from graphloom.llm.packing import pack
+from graphloom.llm.quality_classifier import quality_scores
 from graphloom.llm.quality_rules import quality_rules
 from graphloom.llm.shared import table
 from graphloom.llm.toxicity import toxicity
@@ -28,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -51,7 +56,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_near_dedup, op5_quality_rules, op7_html_extraction, op8_packing, op9_nearest_neighbours, op10_toxicity)} | {"pipeline": pipeline}
+    return {f.__name__: f for f in (op2_line_dedup, op4_near_dedup, op5_quality_rules, op6_quality_classifier, op7_html_extraction, op8_packing, op9_nearest_neighbours, op10_toxicity)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

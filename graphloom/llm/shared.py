@@ -61,3 +61,9 @@ def narrow(df: DataFrame, *names: str) -> DataFrame:
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True for the rows that no label may be learned from: crc32 of the id as text, modulo ``folds``, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
+
+
+def capped(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """All rows, or about ``most`` of them, those with the smallest hashes: a bounded sample to fit a model on."""
+    n = df.count()
+    return df if n <= most else df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * most / n))

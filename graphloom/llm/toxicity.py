@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import held_out, narrow, settle
+from graphloom.llm.shared import capped, held_out, narrow, settle
 
 #: Common insults that need no label.
 SEED_WORDS = "clown disgusting dumb fool garbage idiot imbecile jerk loser moron pathetic scum stupid trash vermin worthless".split()
@@ -179,12 +179,6 @@ def fit_linear(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 0.0
     return beta
 
 
-def _capped(df: DataFrame, key: Column, most: int) -> DataFrame:
-    """About ``most`` rows at most, those with the smallest hash."""
-    n = df.count()
-    return df if n <= most else df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * most / n))
-
-
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted and the posterior of the label model.
 
@@ -193,7 +187,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     docs = narrow(docs, "doc_id", "text")
     labels = narrow(labels, "doc_id", "toxic").select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)").filter(~held_out(F.col("doc_id")))
-    few = [_capped(labels.filter(F.col("toxic") == y), F.col("doc_id"), MAX_LABELLED) for y in (0, 1)]
+    few = [capped(labels.filter(F.col("toxic") == y), F.col("doc_id"), MAX_LABELLED) for y in (0, 1)]
     labelled = settle(docs.join(F.broadcast(few[0].unionByName(few[1])), "doc_id").select("text", "toxic"), "labelled")
     labelled = settle(one_of_each_family(labelled), "families")
     terms = mine_terms(labelled)
@@ -208,7 +202,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = voted.join(F.broadcast(posterior), "votes")
 
     fit = scored.filter(~held_out(F.col("doc_id")))
-    rows = [r for y in (True, False) for r in _capped(fit.filter((F.col("posterior") >= 0.5) == y), F.col("doc_id"), MAX_FIT).select("terms", "posterior").collect()]
+    rows = [r for y in (True, False) for r in capped(fit.filter((F.col("posterior") >= 0.5) == y), F.col("doc_id"), MAX_FIT).select("terms", "posterior").collect()]
     if rows:
         x = np.zeros((len(rows), len(terms)), np.float32)
         for i, r in enumerate(rows):
