@@ -12,6 +12,7 @@ from graphloom.llm.line_dedup import OP2_SQL, op2_columns
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.nearest import nearest_neighbours
 from graphloom.llm.packing import pack
+from graphloom.llm.pieces import op3_columns
 from graphloom.llm.quality_classifier import quality_scores
 from graphloom.llm.quality_rules import quality_rules
 from graphloom.llm.shared import table
@@ -26,6 +27,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_columns(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_columns(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op4_near_dedup, op5_quality_rules, op6_quality_classifier, op7_html_extraction, op8_packing, op9_nearest_neighbours, op10_toxicity)} | {"pipeline": pipeline}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_sentencepiece, op4_near_dedup, op5_quality_rules, op6_quality_classifier, op7_html_extraction, op8_packing, op9_nearest_neighbours, op10_toxicity)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
