@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.plans import flow_queries, graph_queries, text_queries
+
+_ALL = text_queries.QUERIES | graph_queries.QUERIES | flow_queries.QUERIES
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["shared_entities"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
