@@ -8,8 +8,13 @@ multiples of the length; a document that crosses one gives a record on either si
 from __future__ import annotations
 
 import os
+import re
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +29,14 @@ LENGTH = 2048
 #: The id that ends a document.
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a task remembers, and the longest of them.
-KNOWN_WORDS, KNOWN_CHARS = 300_000, 40
+#: Pieces of text whose ids a task remembers, and the longest of them.
+KNOWN_PIECES, KNOWN_CHARS = 700_000, 40
+#: What marks the last token of a word.
+WORD_END = "</w>"
+#: How the tokenizer splits lower-case text, and what sends a text to it whole.
+_PIECE = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|[^\w\s]+")
+_PIECE_OR_LINE = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]|_)+")
+_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\u03a3")
 #: Bytes of ids in a batch that is handed on.
 BATCH_BYTES = 8 << 20
 
@@ -43,46 +54,67 @@ def load_tokenizer(name: str):
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian 16 or 32-bit numbers, by a memory of words.
+    """Ids of whole texts as little-endian 16 or 32-bit numbers, by a memory of their pieces.
 
-    For tokenizers that never join characters across white space. Texts with a special token's mark, or with separators
-    on which libraries differ, are encoded whole.
+    For tokenizers that fold case, split texts as ``PIECE`` does and mark the end of a word. Texts on which libraries may differ - special
+    tokens, rare separators, characters to be composed - are encoded whole.
     """
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
-        self.kind = np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
+        size = tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if size <= 65536 else "<u4")
+        self.ends = np.zeros(size, bool)
+        for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
+            self.ends[i] = token.endswith(WORD_END)
         self.known: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of pieces; those of letters alone end with their one end-of-word token, so many are encoded at once."""
+        words = [w for w in new if w.isalpha()]
+        rest = [w for w in new if not w.isalpha()]
+        out = dict(zip(rest, self._encode(rest), strict=True))
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(some):
+                raw, wide = ids.tobytes(), self.kind.itemsize
+                out.update(zip(some, (raw[wide * a : wide * b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
+            else:
+                out.update(zip(some, self._encode(some), strict=True))
+        return out
+
     def texts(self, texts: list[str]) -> list[bytes]:
-        split = [None if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        odd = [any(c in t for c in _ODD) or not (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in texts]
+        pieces = [[] if o else (_PIECE_OR_LINE if "_" in t else _PIECE).findall(t.lower()) for t, o in zip(texts, odd, strict=True)]
         known = self.known
-        new = list({w for words in split if words for w in words if w not in known})
-        if len(known) + len(new) > KNOWN_WORDS:
+        if len(known) > KNOWN_PIECES:
             known.clear()
-            new = list({w for words in split if words for w in words})
+        new = set(chain.from_iterable(pieces)).difference(known)
         once = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, ids in zip(some, self._encode(some), strict=True):
-                (known if len(w) <= KNOWN_CHARS else once)[w] = ids
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(self._encode([text])[0])
-            elif once:
-                out.append(b"".join([known[w] if w in known else once[w] for w in words]))
-            else:
-                out.append(b"".join([known[w] for w in words]))
-        return out
+        for piece, ids in self._learn(new).items():
+            (known if len(piece) <= KNOWN_CHARS else once)[piece] = ids
+        at = known.__getitem__
+        if once:
+            return [self._encode([t])[0] if o else b"".join([known[x] if x in known else once[x] for x in p]) for t, o, p in zip(texts, odd, pieces, strict=True)]
+        return [self._encode([t])[0] if o else b"".join(map(at, p)) for t, o, p in zip(texts, odd, pieces, strict=True)]
+
+
+def worker_encoder(name: str) -> WordEncoder:
+    """The encoder of this Python worker, which serves one task after another and keeps what it has learned."""
+    kept = sys.modules.setdefault("packing_worker", ModuleType("packing_worker"))
+    if name not in vars(kept):
+        setattr(kept, name, WordEncoder(load_tokenizer(name)))
+    return getattr(kept, name)
 
 
 def _tokenise(name: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start = WordEncoder(load_tokenizer(name)), TaskContext.get().partitionId(), 0
+        encoder, part, start = worker_encoder(name), TaskContext.get().partitionId(), 0
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             ids, at, size = [], 0, 0
@@ -114,9 +146,9 @@ def _cut(length: int):
             ids, held = batch.column(3), None
             for i, (r, a, b) in enumerate(zip(row.tolist(), (begin - first[row]).tolist(), (stop - first[row]).tolist(), strict=True)):
                 if held != r:
-                    held, raw = r, ids[r].as_py()
-                    raw = np.frombuffer(raw, "<u2" if len(raw) == 2 * counts[r] else "<u4").astype("<u4").tobytes()
-                crc[i] = zlib.crc32(raw[4 * a : 4 * b])
+                    raw = ids[r].as_buffer()
+                    held, raw = r, memoryview(np.frombuffer(raw, "<u2" if raw.size == 2 * counts[r] else "<u4").astype("<u4"))
+                crc[i] = zlib.crc32(raw[a:b])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(begin - first[row]), pa.array(stop - begin), pa.array(crc), pa.array(counts[row]), pa.array(sequence), pa.array(begin - sequence * length)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return run
