@@ -1,0 +1,29 @@
+"""All matches of a pattern in a text as rows, with their groups and line numbers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+def newlines(c: Column) -> Column:
+    return F.length(c) - F.length(F.translate(c, "\n", ""))
+
+
+def matches(files: DataFrame, pattern: str, groups: dict[str, int]) -> DataFrame:
+    """One row per match in ``text``: file_name, pos (of the match), line, start and end (zero-based places), match and the named groups.
+
+    Java regular expressions; ``groups`` numbers the groups of ``pattern``. A group that took no part is null. Each match is read together
+    with what precedes it, so that running lengths give its place.
+    """
+    full = F.lit(f"(?s)(.*?)({pattern})")
+    found = {"before": 1, "match": 2} | {name: n + 2 for name, n in groups.items()}
+    columns = {f"m_{name}": F.regexp_extract_all("text", full, F.lit(n)) for name, n in found.items()}
+    listed = files.select("file_name", *[c.alias(n) for n, c in columns.items()])
+    rows = listed.select("file_name", F.posexplode(F.arrays_zip(*columns)).alias("pos", "m")).select("file_name", "pos", *[F.col(f"m.m_{n}").alias(n) for n in found])
+    upto = W.partitionBy("file_name").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    end = F.sum(F.length("before") + F.length("match")).over(upto)
+    line = F.sum(newlines(F.col("before")) + newlines(F.col("match"))).over(upto) - newlines(F.col("match")) + 1
+    placed = rows.withColumns({"end": end.cast("int"), "line": line.cast("int")}).withColumn("start", F.col("end") - F.length("match"))
+    return placed.select("file_name", "pos", "line", "start", "end", "match", *[F.nullif(F.col(g), F.lit("")).alias(g) for g in groups])
