@@ -117,7 +117,8 @@ def execution_order(found: DataFrame, most: int = 64) -> DataFrame:
     ends = rules.select("file_name", F.col("from_task").alias("task")).unionByName(rules.select("file_name", F.col("to_task").alias("task"))).distinct()
     level = ends.withColumn("step", F.lit(0))
     for _ in range(most):
-        pushed = level.join(rules, [level["file_name"] == rules["file_name"], level["task"] == rules["from_task"]]).select(rules["file_name"], F.col("to_task").alias("task"), (F.col("step") + 1).alias("step"))
+        at = level.select("file_name", F.col("task").alias("from_task"), "step")
+        pushed = at.join(rules, ["file_name", "from_task"]).select("file_name", F.col("to_task").alias("task"), (F.col("step") + 1).alias("step"))
         nxt = level.unionByName(pushed).groupBy("file_name", "task").agg(F.max("step").alias("step")).checkpoint()
         if nxt.exceptAll(level).isEmpty():
             return nxt
