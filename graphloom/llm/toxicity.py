@@ -28,14 +28,16 @@ MAX_TERMS = 600
 #: Least log-odds of a mined term, and least likelihood ratio (G squared), which chance reaches once in 20 million terms.
 MIN_ODDS = 2.5
 MIN_RATIO = 30.0
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
+#: Shares of the words of a text that are lexicon words, two at least; reaching one is a vote. Texts hold single ones by chance.
+SHARES = (0.004, 0.008, 0.012)
 THRESHOLD = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Patterns that vote on their own: shouting, exclamation runs, being addressed.
 PATTERNS = {"exclaim": r"!{2,}", "shout": r"\b[A-Z]{4,}\b(?:\W+[A-Z]{2,}\b){3,}", "address": r"(?i)\byou(?:r| are|'re)\b"}
 _PATTERNS = [re.compile(p) for p in PATTERNS.values()]
-_TIERS = 3
+_TIERS = 2
 
 
 def word_terms(word: str) -> list[str]:
@@ -94,11 +96,14 @@ def make_voters(terms: list[tuple[str, float]]) -> tuple[list[str], np.ndarray]:
             names.append(f"{kind}-{tier}")
             for i in own[tier * len(own) // _TIERS : (tier + 1) * len(own) // _TIERS]:
                 of[i] = len(names) - 1
-    return [*names, "seed", *PATTERNS, "nothing"], of
+    return [*names, "seed", *[f"share-{x}" for x in SHARES], *PATTERNS, "nothing"], of
 
 
 def _vote(terms: list[str], of: list[int], n_lexicons: int):
-    """doc_id, votes ("+" toxic, "-" clean, "." abstains; one letter a voter) and the numbers of the terms that stand in the text."""
+    """doc_id, votes ("+" toxic, "-" clean, "." abstains; one letter a voter) and the numbers of the terms that stand in the text.
+
+    The shares that are reached count as terms too, numbered after the others.
+    """
     where = {t: i for i, t in enumerate(terms)}
     seeds = {where[w] for w in SEED_WORDS}
 
@@ -109,18 +114,24 @@ def _vote(terms: list[str], of: list[int], n_lexicons: int):
             for text in batch.column(1):
                 text = text.as_py() or ""
                 hits: set[int] = set()
-                for w in set(_WORD.findall(text.lower())):
+                words = Counter(_WORD.findall(text.lower()))
+                spoken = 0
+                for w, n in words.items():
                     ids = known.get(w)
                     if ids is None:
                         if len(known) > 300_000:
                             known.clear()
                         ids = known[w] = tuple(where[t] for t in word_terms(w) if t in where)
-                    hits.update(ids)
+                    if ids:
+                        hits.update(ids)
+                        spoken += n
                 by = {of[i] for i in hits}
                 lexicons = "".join("+" if j in by else "." for j in range(n_lexicons))
+                reached = [spoken > 1 and spoken >= x * words.total() for x in SHARES]
+                shares = "".join("+" if r else "." for r in reached)
                 patterns = "".join("+" if p.search(text) else "." for p in _PATTERNS)
-                votes.append(lexicons + ("+" if hits & seeds else ".") + patterns + ("." if hits else "-"))
-                found.append(sorted(hits))
+                votes.append(lexicons + ("+" if hits & seeds else ".") + shares + patterns + ("." if hits else "-"))
+                found.append(sorted(hits) + [len(terms) + k for k, r in enumerate(reached) if r])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.string()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "votes", "terms"])
 
     return run
@@ -136,8 +147,8 @@ def label_model(patterns: list[str], counts: np.ndarray, steps: int = 50) -> np.
     n, m = outcome.shape
     onehot = np.eye(3)[outcome]
     lexicon = m - len(PATTERNS) - 1
-    hits = (outcome[:, :lexicon] == 2).sum(axis=1)
-    post = np.where(hits >= 2, 0.9, np.where(hits == 1, 0.6, 0.02))
+    hits = (outcome[:, : lexicon - len(SHARES)] == 2).sum(axis=1)
+    post = np.where(outcome[:, lexicon - 1] == 2, 0.95, np.where(hits > 0, 0.1, 0.02))
     weight = np.ones(m)
     for step in range(steps):
         mass = np.stack([(1 - post) * counts, post * counts])
@@ -164,7 +175,7 @@ def label_model(patterns: list[str], counts: np.ndarray, steps: int = 50) -> np.
     return post
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 0.002, steps: int = 200) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 0.0003, steps: int = 400) -> np.ndarray:
     """Logistic regression on soft labels by accelerated gradient steps; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = w / w.sum()
@@ -204,13 +215,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fit = scored.filter(~held_out(F.col("doc_id")))
     rows = [r for y in (True, False) for r in capped(fit.filter((F.col("posterior") >= 0.5) == y), F.col("doc_id"), MAX_FIT).select("terms", "posterior").collect()]
     if rows:
-        x = np.zeros((len(rows), len(terms)), np.float32)
+        x = np.zeros((len(rows), len(terms) + len(SHARES)), np.float32)
         for i, r in enumerate(rows):
             x[i, r["terms"]] = 1
         y = np.array([r["posterior"] for r in rows])
         beta = fit_linear(x, y, np.where(y >= 0.5, 1 / max(1, (y >= 0.5).sum()), 1 / max(1, (y < 0.5).sum())))
     else:
-        beta = np.zeros(len(terms) + 1)
+        beta = np.zeros(len(terms) + len(SHARES) + 1)
     weights = F.array(*[F.lit(float(b)) for b in beta[:-1]])
     logit = F.lit(float(beta[-1])) + F.aggregate("terms", F.lit(0.0), lambda s, t: s + F.get(weights, t))
     score = 1 / (1 + F.exp(-logit))
