@@ -35,7 +35,7 @@ def analyse_incrementally(stream: DataFrame, store: str, analyse: Callable[[Data
 
 def event_windows(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events and their value by type in tumbling windows; repeated events count once, late ones up to the watermark. Streams and tables alike."""
-    seen = events.withWatermark("ts", late) if events.isStreaming else events
+    seen = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     once = seen.dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else seen.dropDuplicates(["event_id"])
     counted = once.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round("value", 2).cast("decimal(18,2)")).cast("decimal(28,2)").alias("total"))
     return counted.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
