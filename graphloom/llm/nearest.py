@@ -4,6 +4,9 @@
 four bits for each pair of dimensions; residuals parallel to the vector, which move the score of the queries that matter, are
 penalised more than orthogonal ones, in the codebooks as in the choice of codes. Tasks scan the codes with a table for each
 query, two codes to a look-up, and hand on the best; those are ranked by their exact distance.
+
+That ranking only bounds the distance of the k-th neighbour. A second scan goes on to every vector that the length of its
+residual does not prove to be farther, however many share a code or nearly so, and ranks them exactly: nothing is lost.
 """
 
 from __future__ import annotations
@@ -16,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import narrow, settle
+from graphloom.llm.shared import drop_settled, narrow, settle
 
 K = 10
 #: Vectors that the codebooks are fitted on at most.
 FIT_ROWS = 8192
-#: Candidates of a query whose exact distance is computed.
+#: Candidates of a query whose exact distance is computed to bound that of its k-th neighbour.
 RERANK = 300
 CENTRES = 16
 #: Share of a vector's norm that a query must score to matter; sets the weight of parallel residuals.
@@ -29,6 +32,8 @@ MATTERS = 0.2
 FIT_STEPS = 6
 #: Queries that are handed to all tasks at a time.
 QUERY_BLOCK = 4096
+#: Vectors and queries that the second scan compares at a time, and the pairs it holds before it keeps the nearest.
+SCAN_ROWS, SCAN_QUERIES, HELD_PAIRS = 2048, 512, 200_000
 
 
 def parallel_weight(dims: int) -> float:
@@ -109,11 +114,18 @@ def _encode(model):
                 x = _vectors(batch, 1) - mean
                 codes = assign(x, books, weight).astype(np.uint8)
                 packed = codes[:, 0::2] | (codes[:, 1::2] << 4)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array((x * x).sum(axis=1) / 2)], ["vec_id", "code", "half"])
+                residual = np.sqrt(((x - decoded(packed, books)[:, : x.shape[1]]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array((x * x).sum(axis=1) / 2), pa.array(residual)], ["vec_id", "v", "code", "half", "residual"])
 
     return run
 
 
+def decoded(packed: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The centres that packed codes stand for, one row each, with the padded dimensions."""
+    codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(packed), -1)
+    return books[np.arange(codes.shape[1])[None], codes].reshape(len(packed), -1)
+
+
 def best(scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     """Places of the highest scores; of equal ones those with the smaller ids."""
     if len(scores) > most:
@@ -163,6 +175,84 @@ def _merged(most: int):
     return run
 
 
+def nearest_pairs(pairs: list[tuple[np.ndarray, ...]], most: int) -> tuple[np.ndarray, ...]:
+    """(place of the query, distance, id) of the nearest ``most`` of each query; of equal ones those with the smaller ids."""
+    q, far, ids = (np.concatenate(c) for c in zip(*pairs, strict=True))
+    order = np.lexsort((ids, far, q))
+    q, far, ids = q[order], far[order], ids[order]
+    first = np.searchsorted(q, q)
+    keep = np.arange(len(q)) - first < most
+    return q[keep], far[keep], ids[keep]
+
+
+def first_copies(v: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the rows, of equal vectors only the ``most`` with the smallest ids: the others are behind those for any query."""
+    _, group = np.unique(v + 0.0, axis=0, return_inverse=True)
+    order = np.lexsort((ids, group.ravel()))
+    group = group.ravel()[order]
+    return order[np.arange(len(order)) - np.searchsorted(group, group) < most]
+
+
+def _rest(queries, model, k: int):
+    """The nearest ``k`` of a task for each query of the block, out of all vectors that may be within the query's ``reach``.
+
+    With centre c and residual r of a vector x, |q - x| >= |q - c| - |r| and <q, x> <= <q, c> + |q||r|; what passes both is
+    compared exactly, first by matrix product up to its rounding, then term by term in the order of the final distance.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, books, _ = model.value
+        query_ids, vectors, reach = queries.value
+        reach = reach.copy()
+        shifted = vectors - mean
+        squares = (shifted * shifted).sum(axis=1)
+        rounding = 8 * (vectors.shape[1] + 8) * np.finfo(float).eps
+        held = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+        for whole in batches:
+            for at in range(0, whole.num_rows, SCAN_ROWS):
+                batch = whole.slice(at, SCAN_ROWS)
+                v, ids = _vectors(batch, 1), np.asarray(batch.column(0))
+                chosen = first_copies(v, ids, k + 1)  # one of them may be the query itself
+                v, ids, residual = v[chosen], ids[chosen], np.asarray(batch.column(3))[chosen, None]
+                x = v - mean
+                packed = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)[chosen]
+                centre = decoded(packed, books)[:, : x.shape[1]]
+                own, middle = (x * x).sum(axis=1)[:, None], (centre * centre).sum(axis=1)[:, None]
+                for first in range(0, len(query_ids), SCAN_QUERIES):
+                    part = slice(first, first + SCAN_QUERIES)
+                    q, qq, near = shifted[part], squares[None, part], reach[None, part]
+                    slack = rounding * (own + middle + qq)
+                    product = 2 * (centre @ q.T)
+                    out = middle + qq - product > (near + residual) ** 2 + slack
+                    out |= own + qq - product - 2 * np.sqrt(qq) * residual > near**2 + slack
+                    rows, columns = np.flatnonzero(~out.all(axis=1)), np.flatnonzero(~out.all(axis=0))
+                    if not len(rows):
+                        continue
+                    cell = np.ix_(rows, columns)
+                    apart = own[rows] + qq[:, columns] - 2 * (x[rows] @ q[columns].T)
+                    i, j = np.nonzero(~out[cell] & ~(apart > near[:, columns] ** 2 + slack[cell]))
+                    i, j = rows[i], columns[j] + first
+                    other = ids[i] != query_ids[j]
+                    i, j = i[other], j[other]
+                    for some in range(0, len(i), HELD_PAIRS):
+                        a, b = i[some : some + HELD_PAIRS], j[some : some + HELD_PAIRS]
+                        far = np.zeros(len(a))
+                        for d in range(v.shape[1]):
+                            far += (v[a, d] - vectors[b, d]) ** 2
+                        far = np.sqrt(far)
+                        inside = ~(far > reach[b])
+                        held.append((b[inside], far[inside], ids[a][inside]))
+                        if sum(len(h[0]) for h in held[1:]) > HELD_PAIRS:
+                            held = [nearest_pairs(held, k)]
+                            places, counts = np.unique(held[0][0], return_counts=True)
+                            full = places[counts == k]
+                            reach[full] = np.minimum(reach[full], held[0][1][np.searchsorted(held[0][0], full, "right") - 1])
+        places, far, ids = nearest_pairs(held, k)
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[places], pa.int64()), pa.array(ids, pa.int64()), pa.array(far)], ["query_id", "vec_id", "score"])
+
+    return run
+
+
 def usable(vectors: DataFrame, column: str) -> DataFrame:
     """(vec_id, v) of the vectors that take part: not null, finite, not zero, of the commonest length; ids not null."""
     v = F.col(column).cast("array<double>")
@@ -175,8 +265,8 @@ def usable(vectors: DataFrame, column: str) -> DataFrame:
 def nearest_neighbours(vectors: DataFrame, column: str = "embedding", k: int = K, every: int = 100, rerank: int = RERANK) -> DataFrame:
     """The ``k`` nearest by Euclidean distance for each vector whose id is divisible by ``every``: query_id, rank, vec_id, score.
 
-    Every row is indexed; the codebooks come from ``FIT_ROWS`` rows at most. Copies of a vector tie and go by id. A repeated id
-    is one vector (its copies are never its own neighbours).
+    Every row is indexed; the codebooks come from ``FIT_ROWS`` rows at most. The neighbours are exact, whatever ``rerank`` is.
+    Copies of a vector tie and go by id. A repeated id is one vector (its copies are never its own neighbours).
     """
     spark = vectors.sparkSession
     rows = settle(usable(narrow(vectors, "vec_id", column), column).dropDuplicates(["vec_id"]), "vectors")
@@ -189,19 +279,35 @@ def nearest_neighbours(vectors: DataFrame, column: str = "embedding", k: int = K
     mean = fit.mean(axis=0)
     weight = parallel_weight(fit.shape[1])
     model = spark.sparkContext.broadcast((mean, fit_books(fit - mean, weight), weight))
-    codes = settle(rows.mapInArrow(_encode(model), "vec_id bigint, code binary, half double"), "codes")
+    codes = settle(rows.mapInArrow(_encode(model), "vec_id bigint, v array<double>, code binary, half double, residual double"), "codes")
+    drop_settled(rows)
+    rows = codes.select("vec_id", "v")
 
     asked = rows.filter(F.col("vec_id") % every == 0)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+
+    def block(table: DataFrame, b: int) -> tuple:
+        part = table.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)) == b).orderBy("vec_id").collect()
+        return np.array([r["vec_id"] for r in part], np.int64), np.array([r["v"] for r in part]).reshape(len(part), fit.shape[1]), part
+
     found = None
     for b in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)) == b).orderBy("vec_id").collect()
-        queries = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in part], np.int64), np.array([r["v"] for r in part]).reshape(len(part), fit.shape[1])))
-        scanned = codes.mapInArrow(_scan(queries, model, rerank), "query_id bigint, scores array<float>, ids array<bigint>")
+        queries = spark.sparkContext.broadcast(block(asked, b)[:2])
+        scanned = codes.select("vec_id", "code", "half").mapInArrow(_scan(queries, model, rerank), "query_id bigint, scores array<float>, ids array<bigint>")
         near = scanned.groupBy("query_id").applyInArrow(_merged(rerank), "query_id bigint, vec_id bigint")
         found = near if found is None else found.unionByName(near)
     exact = found.join(rows, "vec_id").join(rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     distance = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = exact.select("query_id", "vec_id", distance.alias("score")).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kth = ranked.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reach"))
+    asked = settle(asked.join(kth, "vec_id", "left"), "asked")
+
+    found = None
+    for b in range(blocks):
+        ids, own, part = block(asked, b)
+        reach = np.array([np.inf if r["reach"] is None else r["reach"] for r in part])
+        queries = spark.sparkContext.broadcast((ids, own, reach))
+        near = codes.select("vec_id", "v", "code", "residual").mapInArrow(_rest(queries, model, k), "query_id bigint, vec_id bigint, score double")
+        found = near if found is None else found.unionByName(near)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -27,6 +27,21 @@ def test_recall_on_the_whole_table(spark, sf_dir):
     assert all([s for _, s in r] == sorted(s for _, s in r) for r in got.values())
 
 
+def test_nothing_is_lost_in_hot_clusters(spark):
+    """A third near copies of one vector and some exact ones of another, each more than are reranked."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3600, 16))
+    x[::3] = x[0] + 1e-4 * rng.normal(size=(1200, 16))
+    x[1:2400:6] = x[1]
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    want = brute(np.arange(len(x)), x, every=20)
+    got = {}
+    for r in nearest_neighbours(df, every=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [v for v, _ in near] for q, near in want.items()}
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None), (4, [0.0] * 3), (5, [nan, 1.0, 0.0]), (6, [inf, 1.0, 0.0]), (7, [None, 1.0, 0.0]), (8, [0.0, 1.0, 0.0]), (9, [1.0]), (None, [1.0, 1.0, 1.0])]
