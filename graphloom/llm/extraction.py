@@ -1,7 +1,8 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks; the first pass decides each by the part of the page it stands in, its stop-word density, length and
-link density; the second gives blocks too short to decide the label of their nearest decided neighbours.
+A page is cut into blocks; the first pass decides each by its stop-word density, length and link density, and by the part of
+the page it stands in: outer parts hold no main text, in an article or main element less evidence is enough. The second gives
+blocks too short to decide the label of their nearest decided neighbours, of the same article or main element if it has any.
 """
 
 from __future__ import annotations
@@ -42,12 +43,12 @@ class Block:
     texts: list[str] = field(default_factory=list)
     linked: int = 0
     outer: bool = False
-    main: bool = False
+    main: int = 0  # number of the innermost article or main element, 0 outside
     heading: bool = False
     text: str = ""
 
 
-def _is_outer(tag: str, attributes: str, in_main: bool) -> bool:
+def _is_outer(tag: str, attributes: str, in_main: int) -> bool:
     if tag in OUTER_TAGS and not (tag == "header" and in_main):
         return True
     if tag in MAIN_TAGS or tag in ("html", "body") or not attributes:
@@ -65,15 +66,15 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, those without text left out."""
     out: list[Block] = []
     now = Block()
-    stack: list[tuple[str, bool, bool]] = []  # name, in an outer part, in a main part
-    links, breaks, at = 0, 0, 0
+    stack: list[tuple[str, bool, int]] = []  # name, in an outer part, number of the main part
+    links, breaks, at, parts = 0, 0, 0, 0
 
     def end(tag: str = "") -> None:
         nonlocal now
         now.text = " ".join("".join(now.texts).split())
         if now.text:
             out.append(now)
-        now = Block(outer=stack[-1][1] if stack else False, main=stack[-1][2] if stack else False, heading=len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
+        now = Block(outer=stack[-1][1] if stack else False, main=stack[-1][2] if stack else 0, heading=len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
 
     def add(raw: str) -> None:
         text = html.unescape(raw)
@@ -116,9 +117,10 @@ def blocks(page: str) -> list[Block]:
                     del stack[depth:]
                 end()
             else:
-                outer, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                outer, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
                 if tag not in VOID_TAGS and tag != "p" and tag != "li":
-                    stack.append((tag, outer or _is_outer(tag, m[4], main), main or tag in MAIN_TAGS))
+                    parts += tag in MAIN_TAGS
+                    stack.append((tag, outer or _is_outer(tag, m[4], main), parts if tag in MAIN_TAGS else main))
                     end(tag)
                 else:
                     end(tag)
@@ -130,28 +132,44 @@ def blocks(page: str) -> list[Block]:
 
 def first_pass(all_blocks: list[Block]) -> list[int]:
     """1 main text, -1 not, 0 undecided, 2 undecided but likely."""
-    has_main = any(b.main and not b.outer for b in all_blocks)
     labels = []
     for b in all_blocks:
         n = len(b.text)
         density = b.linked / n
-        if b.outer or (has_main and not b.main):
-            labels.append(-1)
-        elif b.main:
-            labels.append(1 if density < 0.9 else 0)
-        elif density > LINK_DENSITY:
+        if b.outer or density > LINK_DENSITY:
             labels.append(-1)
         elif n < SHORT:
-            labels.append(-1 if density > 0.2 else 2 if b.heading else 0)
+            likely = 2 if b.heading or b.main else 0
+            labels.append(likely if density <= 0.2 else 0 if b.main else -1)
         else:
             words = b.text.lower().split()
             stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-            labels.append(1 if stops >= STOP_HIGH else 2 if stops >= STOP_LOW or n >= LONG else 0)
+            some = stops >= STOP_LOW or n >= LONG
+            labels.append(1 if stops >= STOP_HIGH or (b.main and some) else 2 if b.main or some else 0)
     return labels
 
 
-def second_pass(labels: list[int]) -> list[bool]:
-    """Undecided blocks take the label of the nearer decided neighbour; at equal distance of unlike ones likely blocks are kept."""
+def second_pass(labels: list[int], parts: list[int] | None = None) -> list[bool]:
+    """Undecided blocks take the label of the nearer decided neighbour; at equal distance of unlike ones likely blocks are kept.
+
+    A block of one of the ``parts`` (0 is none) looks for neighbours there first. On a page without any main text likely ones of
+    a part that has no decided block are kept.
+    """
+    out = _nearest(labels)
+    places: dict[int, list[int]] = {}
+    for i, part in enumerate(parts or ()):
+        if part:
+            places.setdefault(part, []).append(i)
+    bare = 1 not in labels
+    for own in places.values():
+        inside = [labels[i] for i in own]
+        if bare or any(abs(label) == 1 for label in inside):
+            for i, keep in zip(own, _nearest(inside), strict=True):
+                out[i] = keep
+    return out
+
+
+def _nearest(labels: list[int]) -> list[bool]:
     n = len(labels)
     before, after, last = [None] * n, [None] * n, None
     for i in range(n):
@@ -182,7 +200,8 @@ def second_pass(labels: list[int]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    return "\n".join(b.text for b, keep in zip(found, second_pass(first_pass(found)), strict=True) if keep)
+    kept = second_pass(first_pass(found), [0 if b.outer else b.main for b in found])
+    return "\n".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

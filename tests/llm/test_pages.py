@@ -20,6 +20,26 @@ def test_without_semantic_tags():
     assert main_text(page) == f"{BODY}\nYes.\n{BODY}"
 
 
+def test_misleading_articles():
+    """The body stands in plain divs, teasers in articles."""
+    teasers = "".join(f"<article><h3><a href=/{k}>Another story {k}</a></h3><p>Teaser {k}</p></article>" for k in range(3))
+    page = f"<nav>Home</nav><div><h1>Head</h1><p>{BODY}</p><p>{BODY}</p></div><div>{teasers}</div><footer>(c)</footer>"
+    assert main_text(page) == f"Head\n{BODY}\n{BODY}"
+    assert main_text(f"<div>{teasers}</div>{page}") == f"Head\n{BODY}\n{BODY}"
+
+
+def test_link_lists_in_an_article():
+    links = "See <a href=/1>another of the stories that we have on this site and in it</a>"
+    page = f"<article><h1>Head</h1><p>{BODY}</p><ul><li>{links}</li><li>{links}</li></ul><p>The end.</p><p>{BODY}</p><p>Bye.</p></article><footer>(c)</footer>"
+    assert main_text(page).split("\n")[:2] == ["Head", BODY]
+    assert "another of the stories" not in main_text(page)
+    assert main_text(page).endswith(f"{BODY}\nBye.")
+
+
+def test_short_article_without_other_text():
+    assert main_text("<nav><a href=/>Home</a></nav><article><h1>Head</h1><p>Of.</p><p>To it.</p></article><footer>(c)</footer>") == "Head\nOf.\nTo it."
+
+
 def test_broken_pages():
     for page in (None, "", "<", "<p", "<script>never closed", "<!-- never closed", "&#xZZ; &bogus", "</div></div>" * 50, "<div>" * 5000):
         assert isinstance(main_text(page), str)
