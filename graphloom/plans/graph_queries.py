@@ -73,7 +73,7 @@ GRAPH_EDGES = f"SELECT src, type, split_part(dst, ':', 1) AS dst_type, split_par
 
 
 def edge_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    """Edges within the sub-graph of orders and customers with a small balance."""
+    """Edges within the sub-graph of orders, places and the customers whose id ends in 0 or 5."""
     some = nodes(spark, d).filter("label IN ('ORDER', 'NATION', 'REGION') OR (label = 'CUSTOMER' AND substr(id, -1) IN ('0', '5'))")
     return graph.within(edges(spark, d), some)
 
