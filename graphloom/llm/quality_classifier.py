@@ -13,14 +13,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import capped, held_out, narrow
+from graphloom.llm.shared import capped, held_out, narrow, settle
 
 #: Labelled documents of either class that the field is fitted on at most.
 MAX_FIT = 2500
-#: Lines of a document that are fitted on at most; all lines are scored.
-MAX_FIT_LINES = 400
+#: Lines of either class after which no further document is fitted on; every document is fitted and scored whole.
+FIT_LINES = 1_000_000
 THRESHOLD = 0.3
 ROUNDS, STEPS = 2, 120
 #: Bytes of text whose features are computed at a time.
@@ -151,7 +152,7 @@ def fit_curve(share: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, length, counts = line_features([b"\n".join((t or b"").split(b"\n")[:MAX_FIT_LINES]) for t in batch.column(0).to_pylist()])
+        x, length, counts = line_features([t or b"" for t in batch.column(0).to_pylist()])
         at = np.cumsum(counts) - counts
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[a : a + n].astype(np.float32).tobytes() for a, n in zip(at, counts, strict=True)], pa.binary()), pa.array([length[a : a + n].tobytes() for a, n in zip(at, counts, strict=True)], pa.binary())], ["quality", "x", "length"])
 
@@ -177,6 +178,13 @@ def _scores(model):
     return run
 
 
+def _whole_documents(sample: DataFrame, most: int = FIT_LINES) -> DataFrame:
+    """The documents of either class with the smallest keys, up to the one with which they have ``most`` lines."""
+    lines = F.coalesce(F.length("text") - F.length(F.translate(F.col("text").cast("string"), "\n", "").cast("binary")), F.lit(0)) + 1
+    before = F.sum("lines").over(W.partitionBy("quality").orderBy("key").rowsBetween(W.unboundedPreceding, -1))
+    return sample.withColumn("lines", lines).withColumn("before", before).filter(F.coalesce("before", F.lit(0)) < most).select("text", "quality")
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score and predicted.
 
@@ -185,7 +193,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = narrow(docs, "doc_id", "text")
     labels = narrow(labels, "doc_id", "quality").select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality IN (0, 1)").filter(~held_out(F.col("doc_id")))
     few = [capped(labels.filter(F.col("quality") == y), F.col("doc_id"), MAX_FIT) for y in (0, 1)]
-    sample = docs.join(F.broadcast(few[0].unionByName(few[1])), "doc_id").select(F.col("text").cast("binary").alias("text"), "quality")
+    sample = docs.join(F.broadcast(few[0].unionByName(few[1])), "doc_id").select(F.col("text").cast("binary").alias("text"), "quality", F.xxhash64("doc_id", "text").alias("key"))
+    sample = _whole_documents(settle(sample, "quality-sample"))
     rows = sorted(sample.mapInArrow(_features, "quality int, x binary, length binary").collect(), key=lambda r: (r["quality"], r["x"]))
     good = np.array([r["quality"] == 1 for r in rows], bool)
     if len(rows) and good.any() and not good.all():

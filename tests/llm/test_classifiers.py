@@ -1,8 +1,10 @@
 """Quality and toxicity on held-out documents, and rows that have nothing to score."""
 
+import random
+
 import pytest
 
-from graphloom.llm.quality_classifier import quality_scores
+from graphloom.llm.quality_classifier import _whole_documents, quality_scores
 from graphloom.llm.shared import table
 from graphloom.llm.toxicity import toxicity
 
@@ -27,6 +29,24 @@ def test_quality_of_held_out_documents(larger):
     assert sum(p == y for p, y in rows) >= 0.95 * len(rows)
 
 
+def test_junk_behind_many_good_lines_is_learned(spark):
+    """Bad documents that begin like good ones; every line of a chosen document teaches."""
+    rng = random.Random(4)
+    line = lambda: " ".join(rng.choices("it is the of lines that are in this text and long words to be read".split(), k=rng.randrange(4, 16)))
+    junk = lambda: "".join(rng.choices("#$%!|& ", k=rng.randrange(20, 80)))
+    texts = [(k, "\n".join([line() for _ in range(405)] + [(line if k % 2 else junk)() for _ in range(500)])) for k in range(24)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(24)], "doc_id bigint, quality int")
+    score = {r["doc_id"]: r["score"] for r in quality_scores(docs, labels).collect()}
+    assert max(score[k] for k in range(0, 24, 2)) + 0.3 < min(score[k] for k in range(1, 24, 2)), score
+
+
+def test_whole_documents_are_chosen(spark):
+    sample = spark.createDataFrame([(b"a\nb\nc", 0, 1), (b"d\ne", 0, 2), (b"f", 0, 3), (None, 1, 1), (b"g", 1, 2)], "text binary, quality int, key bigint")
+    got = {None if r["text"] is None else bytes(r["text"]) for r in _whole_documents(sample, 4).collect()}
+    assert got == {b"a\nb\nc", b"d\ne", None, b"g"}
+
+
 def test_toxicity_of_held_out_documents(larger):
     rows = held(toxicity(*larger), larger[1], "toxic")
     assert sum(p for p, y in rows if not y) <= 0.02 * len(rows)
