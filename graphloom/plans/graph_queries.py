@@ -152,7 +152,7 @@ SELECT start, id, min(hops) AS hops FROM p WHERE hops > 0 GROUP BY start, id"""
 
 
 def search_union(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes and edges that hold a term, at most ten of each kind."""
+    """Names of nodes that hold a term, at most ten of each label; edges are not searched."""
     n, out = nodes(spark, d), None
     for term in ("ring", "nation_1", "supplier#00000001"):
         hits = n.filter(graph.holds([F.col("name")], term)).select(F.lit(term).alias("term"), F.col("label").alias("branch"), "id", "name")
