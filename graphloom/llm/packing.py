@@ -37,6 +37,18 @@ WORD_END = "</w>"
 _PIECE = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|[^\w\s]+")
 _PIECE_OR_LINE = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]|_)+")
 _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\u03a3")
+
+
+def _young() -> np.ndarray:
+    """The code points that one library may take for a letter or digit and another, of an older or younger standard, not."""
+    kind = lambda c: c[0] if c[0] in "LN" else ""
+    out = np.zeros(0x110000, bool)
+    for i in range(128, len(out)):
+        now = unicodedata.category(chr(i))
+        out[i] = now == "Cn" or kind(now) and kind(now) != kind(unicodedata.ucd_3_2_0.category(chr(i)))
+    return out
+
+
 #: Bytes of ids in a batch that is handed on.
 BATCH_BYTES = 8 << 20
 
@@ -57,11 +69,12 @@ class WordEncoder:
     """Ids of whole texts as little-endian 16 or 32-bit numbers, by a memory of their pieces.
 
     For tokenizers that fold case, split texts as ``PIECE`` does and mark the end of a word. Texts on which libraries may differ - special
-    tokens, rare separators, characters to be composed - are encoded whole.
+    tokens, rare separators, characters to be composed, letters of late editions of the standard - are encoded whole.
     """
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
+        self.young = _young()
         size = tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if size <= 65536 else "<u4")
         self.ends = np.zeros(size, bool)
@@ -88,9 +101,14 @@ class WordEncoder:
                 out.update(zip(some, self._encode(some), strict=True))
         return out
 
+    def _plain(self, text: str) -> bool:
+        return unicodedata.is_normalized("NFC", text) and not self.young[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any()
+
     def texts(self, texts: list[str]) -> list[bytes]:
-        odd = [any(c in t for c in _ODD) or not (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in texts]
-        pieces = [[] if o else (_PIECE_OR_LINE if "_" in t else _PIECE).findall(t.lower()) for t, o in zip(texts, odd, strict=True)]
+        lower = [t.lower() for t in texts]
+        # pieces are composed once more when they are encoded, so the text in lower case must stay as it is under composition too
+        odd = [any(c in t for c in _ODD) or not (t.isascii() or self._plain(t) and self._plain(x)) for t, x in zip(texts, lower, strict=True)]
+        pieces = [[] if o else (_PIECE_OR_LINE if "_" in t else _PIECE).findall(t) for t, o in zip(lower, odd, strict=True)]
         known = self.known
         if len(known) > KNOWN_PIECES:
             known.clear()

@@ -3,8 +3,29 @@
 import zlib
 
 import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from graphloom.llm.packing import LENGTH, load_tokenizer, pack
+from graphloom.llm.packing import LENGTH, load_tokenizer, pack, worker_encoder
+
+TOKENIZER = load_tokenizer("word_bpe_49k.json")
+
+
+def same_ids(text):
+    encoder = worker_encoder("word_bpe_49k.json")
+    assert np.frombuffer(encoder.texts([text])[0], encoder.kind).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["\u0130\u0650", "a \u0130\u0307\u0323b", "e\u0301 \u1e9b\u0323", "ΣΑΣ Σ. ς", "ǅ ŉ ﬁ ß", "<|endoftext|> x", "it's I'LL don't 'sx", "_a_b__1", "x" * 5000, "١٢ ²½", "\x1c\x85\u2028a", "한글 ห้ กำ"])
+def test_hard_texts_have_the_ids_of_the_library(text):
+    same_ids(text)
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("aeIsTt' .,!_1\u0130\u0650\u0301\u0307\u0323\u03a3\u1e9b\u0345\u0391İΣé<|>\n\x1c\x85"), st.characters(exclude_categories=["Cs"])), max_size=25))
+def test_any_text_has_the_ids_of_the_library(text):
+    same_ids(text)
 
 
 def check(df, length=LENGTH):
