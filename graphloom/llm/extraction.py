@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +35,9 @@ LINK_DENSITY = 0.5
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.12, 0.22
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag: a > in quotes does not end it.
+_REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
@@ -62,12 +65,59 @@ def _is_outer(tag: str, attributes: str, in_main: int) -> bool:
     return False
 
 
+def tags(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """The text before each tag, whether the tag closes, its name and its attributes; last the text after all tags.
+
+    Every place is looked at a bounded number of times: after quotes or a CDATA section that never end, quotes or such sections
+    mean nothing in the rest of the page. A comment that never ends takes the rest.
+    """
+    held: list[str] = []
+    at, last, quotes, sections = 0, page.rfind(">"), True, True
+    while (start := page.find("<", at)) >= 0:
+        held.append(page[at:start])
+        if page.startswith("<!--", start):
+            stop = page.find("-->", start + 2)
+            at = stop + 3 if stop >= 0 else len(page)
+            continue
+        if start > last:
+            at = start
+            break
+        if sections and page.startswith("<![CDATA[", start):
+            stop = page.find("]]>", start)
+            if sections := stop >= 0:
+                held.append(page[start + 9 : stop])
+                at = stop + 3
+                continue
+        if page.startswith(("<!", "<?"), start):
+            at = page.find(">", start) + 1
+            continue
+        name = _NAME.match(page, start + 1)
+        if name is None:
+            held.append("<")
+            at = start + 1
+            continue
+        rest = _REST.match(page, name.end()) if quotes else None
+        quotes = rest is not None
+        stop = rest.end() if rest else page.find(">", name.end()) + 1
+        at = stop
+        if name[2].lower() in NO_TEXT_TAGS and not name[1] and not page.startswith("/", stop - 2):
+            closer = _CLOSERS[name[2].lower()].search(page, stop)
+            at = closer.end() if closer else len(page)
+        yield "".join(held), bool(name[1]), name[2].lower(), page[name.end() : stop - 1]
+        held = []
+    yield "".join(held) + page[at:], True, "", ""
+
+
+_CLOSERS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in NO_TEXT_TAGS}
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, those without text left out."""
     out: list[Block] = []
     now = Block()
     stack: list[tuple[str, bool, int]] = []  # name, in an outer part, number of the main part
-    links, breaks, at, parts = 0, 0, 0, 0
+    open_: Counter[str] = Counter()
+    links, breaks, parts = 0, 0, 0
 
     def end(tag: str = "") -> None:
         nonlocal now
@@ -76,32 +126,15 @@ def blocks(page: str) -> list[Block]:
             out.append(now)
         now = Block(outer=stack[-1][1] if stack else False, main=stack[-1][2] if stack else 0, heading=len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
 
-    def add(raw: str) -> None:
-        text = html.unescape(raw)
-        now.texts.append(text)
-        if links:
-            now.linked += len(text)
-
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        if m.start() > at:
-            piece = page[at : m.start()]
-            add(piece)
-            if breaks and not piece.isspace():
+    for raw, closing, tag, attributes in tags(page):
+        if raw:
+            text = html.unescape(raw)
+            now.texts.append(text)
+            if links:
+                now.linked += len(text)
+            if breaks and not raw.isspace():
                 breaks = 0
-        at = m.end()
-        if m[1] is not None:
-            add(m[1])
-        if m[3] is None:
-            continue
-        closing, tag = bool(m[2]), m[3].lower()
         if tag in NO_TEXT_TAGS and not closing:
-            if not m[4].endswith("/"):
-                stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
             now.texts.append(" ")
         elif tag == "br":
             breaks += 1
@@ -112,19 +145,22 @@ def blocks(page: str) -> list[Block]:
             links = 0 if closing else 1
         elif tag in BLOCK_TAGS:
             if closing:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if depth is not None:
-                    del stack[depth:]
+                while open_[tag]:
+                    gone = stack.pop()[0]
+                    open_[gone] -= 1
+                    if gone == tag:
+                        break
                 end()
             else:
                 outer, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
                 if tag not in VOID_TAGS and tag != "p" and tag != "li":
                     parts += tag in MAIN_TAGS
-                    stack.append((tag, outer or _is_outer(tag, m[4], main), parts if tag in MAIN_TAGS else main))
+                    stack.append((tag, outer or _is_outer(tag, attributes, main), parts if tag in MAIN_TAGS else main))
+                    open_[tag] += 1
                     end(tag)
                 else:
                     end(tag)
-                    now.outer = outer or _is_outer(tag, m[4], main)
+                    now.outer = outer or _is_outer(tag, attributes, main)
             links = breaks = 0
     end()
     return out
@@ -152,18 +188,19 @@ def first_pass(all_blocks: list[Block]) -> list[int]:
 def second_pass(labels: list[int], parts: list[int] | None = None) -> list[bool]:
     """Undecided blocks take the label of the nearer decided neighbour; at equal distance of unlike ones likely blocks are kept.
 
-    A block of one of the ``parts`` (0 is none) looks for neighbours there first. On a page without any main text likely ones of
-    a part that has no decided block are kept.
+    A block of one of the ``parts`` (0 is none) looks for neighbours there first. On a page without any main text there is nothing
+    to inherit: all undecided ones are kept.
     """
+    if 1 not in labels:
+        return [label >= 0 for label in labels]
     out = _nearest(labels)
     places: dict[int, list[int]] = {}
     for i, part in enumerate(parts or ()):
         if part:
             places.setdefault(part, []).append(i)
-    bare = 1 not in labels
     for own in places.values():
         inside = [labels[i] for i in own]
-        if bare or any(abs(label) == 1 for label in inside):
+        if any(abs(label) == 1 for label in inside):
             for i, keep in zip(own, _nearest(inside), strict=True):
                 out[i] = keep
     return out
@@ -211,7 +248,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
-    """Per row of ``pages``: page_id, url, text and n_chars, its code points. A null or empty page has the empty text."""
+    """Per row of ``pages``: page_id, url, text and n_chars, its code points. A null or empty page has the empty text.
+
+    A very long page is one row of one task, worked through in time proportional to its length, however broken it is.
+    """
     pages = narrow(pages, "page_id", "url", "html")
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     out = pages.mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")

@@ -1,7 +1,13 @@
 """Main text and language of pages."""
 
+import math
+import time
+from html.parser import HTMLParser
+
+import pytest
+
 from graphloom.llm.extraction import extract_main_text, main_text, second_pass
-from graphloom.llm.language import identify_language
+from graphloom.llm.language import CELLS, DECLARED_SMOOTH, MOST, SMOOTH, TEMPER, identify_language, trigrams
 from graphloom.llm.shared import table
 
 BODY = "It is the first of the long paragraphs that the page is about, and there is more of it in the next one."
@@ -47,7 +53,48 @@ def test_broken_pages():
 
 def test_undecided_blocks_follow_the_nearer_neighbour():
     assert second_pass([1, 0, 0, 0, -1]) == [True, True, False, False, False]
-    assert second_pass([0, 0]) == [False, False]
+    assert second_pass([0, 0, -1]) == [True, True, False]  # nothing to inherit
+
+
+def test_short_pages_keep_all_of_their_text():
+    assert main_text("<body><p>Short note.</p></body>") == "Short note."
+    assert main_text("<h1>Title</h1><p>One line.</p><p>Two lines.</p>") == "Title\nOne line.\nTwo lines."
+    assert main_text("<nav><a href=/>Home</a></nav><p>Short note.</p><footer>(c)</footer>") == "Short note."
+
+
+@pytest.mark.parametrize("page", ["<a " * 80_000, '<a "' * 80_000 + ">", '<a ">" ' * 80_000, "<![CDATA[" * 80_000 + "<p>x</p>", "<div>" * 40_000 + "</span></p></section>" * 40_000, "<!" * 100_000, "<" * 400_000, "<p>" * 100_000])
+def test_long_broken_pages_take_time_in_proportion(page):
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 10
+
+
+class Articles(HTMLParser):
+    """The characters in articles, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.out = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth > 0:
+            self.out.append(data)
+
+
+def test_whole_table_against_another_parser(spark, sf_dir):
+    """The pages of the tables hold their main text in one article."""
+    pages = table(spark, sf_dir, "pages")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    for r in extract_main_text(pages).collect():
+        parser = Articles()
+        parser.feed(html[r["page_id"]] or "")
+        assert "".join(r["text"].split()) == "".join("".join(parser.out).split())
 
 
 def test_odd_pages(spark):
@@ -71,6 +118,42 @@ def test_languages_of_all_pages(spark, sf_dir):
     assert got.filter("lang <=> text_lang").count() >= 0.95 * got.count()
 
 
+def test_fusion_against_brute_force(spark):
+    """Text likelihoods, declarations and smoothed priors, page by page in plain Python."""
+    french = "il est dans la maison et les gens sont la pour la fin de la vie que nous avons"
+    texts = [(BODY, "en"), (french, "fr"), (BODY[::-1], "xx")]
+    rows = [(k, f"http://{h}/{k}", f"<html lang={d}><article><p>{t}</p></article>") for k, (h, d, t) in enumerate([("a.x.fr", "fr", french), ("a.x.fr", "en", french), ("b.x.fr", "fr", BODY), ("www.z.com", "en", BODY), ("www.z.com", "fr", "of la"), ("z.com", "xx", ""), ("", "en", french)])]
+    found = {r["page_id"]: r for r in identify_language(spark.createDataFrame(rows, "page_id bigint, url string, html string"), spark.createDataFrame(texts, "text string, lang string")).collect()}
+    langs, counts = ["en", "fr", "xx"], {}
+    for text, lang in texts:
+        counts[lang] = [0] * CELLS
+        for c in trigrams(text):
+            counts[lang][c] += 1
+    logs = {x: [math.log((c + 0.5) / (sum(counts[x]) + 0.5 * CELLS)) for c in counts[x]] for x in langs}
+    likelihood = []
+    for _, _, page in rows:
+        own = [sum(logs[x][c] for c in trigrams(main_text(page))) * TEMPER for x in langs]
+        likelihood.append([max(v - max(own), -MOST) for v in own])
+    soft = lambda v: [math.exp(x - max(v)) / sum(math.exp(y - max(v)) for y in v) for x in v]
+    post = [soft(v) for v in likelihood]
+    told = [page.split("lang=")[1].split(">")[0] for _, _, page in rows]
+    table_ = {t: [sum(p[i] for p, x in zip(post, told, strict=True) if x == t) for i in range(3)] for t in [*langs, "other"]}
+    for k, (_, url, _) in enumerate(rows):
+        host = url.split("/")[2]
+        prior, own = None, len(rows)
+        prior = [(sum(p[i] for p in post) - post[k][i] + SMOOTH / 3) / (own - 1 + SMOOTH) for i in range(3)]
+        for of in (lambda h: h.rsplit(".", 1)[-1], lambda h: ".".join(h.split(".")[-2:]), lambda h: h):
+            if not host:
+                break
+            group = [j for j in range(len(rows)) if rows[j][1].split("/")[2] and of(rows[j][1].split("/")[2]) == of(host)]
+            prior = [(sum(post[j][i] for j in group) - post[k][i] + SMOOTH * prior[i]) / (len(group) - 1 + SMOOTH) for i in range(3)]
+        column = [sum(table_[t][i] for t in table_) + DECLARED_SMOOTH for i in range(3)]
+        declared = [math.log((table_[told[k]][i] + DECLARED_SMOOTH / 4) / column[i]) for i in range(3)]
+        fused = soft([math.log(prior[i]) + likelihood[k][i] + declared[i] for i in range(3)])
+        assert found[k]["lang"] == langs[fused.index(max(fused))]
+        assert abs(found[k]["posterior"] - max(fused)) < 1e-5
+
+
 def test_the_address_decides_without_text(spark):
     french = "il est dans la maison et les gens sont la pour la fin de la vie que nous avons"
     rows = [(k, f"http://www.site.fr/{k}", f"<article><p>{french} {k}</p></article>") for k in range(12)]
