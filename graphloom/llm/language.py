@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.extraction import blocks, main_text
-from graphloom.llm.shared import capped, narrow, settle
+from graphloom.llm.shared import narrow, settle
 
 CELLS = 1 << 15
-#: Labelled texts of a language that its model is fitted on at most, and languages at most.
-MAX_FIT, MAX_LANGUAGES = 1500, 64
+#: Labelled texts of a language that its model is fitted on at most, about.
+MAX_FIT = 1500
+#: More distinct values than this are no languages: an error, as a model takes 128 KiB of every task for each.
+MAX_LANGUAGES = 8192
+#: Groups that the texts of a language are counted in.
+SHARDS = 8
 #: Neighbouring trigrams overlap: their likelihood counts by this share, and no text outweighs the rest by more than this.
 TEMPER, MOST = 1 / 3, 30.0
 #: Pages' worth of weight that the level above has in a prior.
@@ -40,27 +43,37 @@ def trigrams(text: str) -> np.ndarray:
     return ((((raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]) * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.setdefault(lang, np.zeros(CELLS, np.int64))
-            held[lang] += np.bincount(trigrams(text or ""), minlength=CELLS)
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([c.tobytes() for c in held.values()], pa.binary())], ["lang", "counts"])
+def _counts(part: pa.Table) -> pa.Table:
+    held = np.zeros(CELLS, np.int64)
+    for text in part.column("text"):
+        held += np.bincount(trigrams(text.as_py() or ""), minlength=CELLS)
+    return pa.table({"lang": pa.array([part.column("lang")[0].as_py()], pa.string()), "counts": pa.array([held.tobytes()], pa.binary())})
+
+
+def _logs(part: pa.Table) -> pa.Table:
+    held = sum(np.frombuffer(c.as_py(), np.int64) for c in part.column("counts"))
+    logs = np.log((held + 0.5) / (held.sum() + 0.5 * CELLS)).astype(np.float32)
+    return pa.table({"lang": pa.array([part.column("lang")[0].as_py()], pa.string()), "logs": pa.array([logs.tobytes()], pa.binary())})
 
 
 def fit_models(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages of ``labelled`` (text, lang), the commonest first if there are too many, and log-probabilities (CELLS, languages)."""
-    langs = [r["lang"] for r in labelled.filter("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    langs.sort()
-    if not langs:
+    """Languages of ``labelled`` (text, lang) by name and the log-probabilities (CELLS, languages) of their trigrams.
+
+    Counts of a hash sample of each language are summed in tasks; one row a language comes to the driver.
+    """
+    named = labelled.filter("lang IS NOT NULL").select("text", "lang")
+    hashed = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
+    sizes = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("least")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
+    if not sizes:
         return [], np.zeros((CELLS, 0), np.float32)
-    some = reduce(DataFrame.unionByName, [capped(labelled.filter(F.col("lang") == x).select("text", "lang"), F.col("text"), MAX_FIT) for x in langs])
-    total = {x: np.zeros(CELLS) for x in langs}
-    for row in some.mapInArrow(_counts, "lang string, counts binary").toLocalIterator():  # a row a task and language
-        total[row["lang"]] += np.frombuffer(row["counts"], np.int64)
-    table = np.column_stack([np.log((total[x] + 0.5) / (total[x].sum() + 0.5 * CELLS)) for x in langs])
-    return langs, table.astype(np.float32)
+    bars = named.sparkSession.createDataFrame([(r["lang"], max(r["least"], int(1_000_000 * min(1.0, MAX_FIT / r["n"])))) for r in sizes], "lang string, bar long")
+    some = named.join(F.broadcast(bars), "lang").filter(hashed <= F.col("bar")).select("lang", "text").distinct()  # copies count once
+    some = some.withColumn("shard", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(SHARDS)))
+    counts = some.groupBy("lang", "shard").applyInArrow(_counts, "lang string, counts binary")
+    rows = sorted(counts.groupBy("lang").applyInArrow(_logs, "lang string, logs binary").collect(), key=lambda r: r["lang"])
+    return [r["lang"] for r in rows], np.column_stack([np.frombuffer(r["logs"], np.float32) for r in rows])
 
 
 def _evidence(models):
@@ -73,7 +86,8 @@ def _evidence(models):
                 m = _DECLARED.search(page)
                 declared.append((m[1] or m[2]).lower() if m else None)
                 cells = trigrams(main_text(page) or " ".join(b.text for b in blocks(page)))
-                logs = table[cells].sum(axis=0, dtype=np.float64) * TEMPER
+                kinds, times = np.unique(cells, return_counts=True)  # a long text too has at most CELLS kinds
+                logs = times.astype(np.float64) @ table[kinds] * TEMPER
                 likelihood.append(np.maximum(logs - logs.max(initial=-np.inf), -MOST) if logs.size else logs)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(declared, pa.string()), pa.array(likelihood, pa.list_(pa.float64()))], ["page_id", "url", "declared", "likelihood"])
 
@@ -89,7 +103,8 @@ def identify_language(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """Per row of ``pages``: page_id, url, declared, text_lang (by the text alone), lang and posterior.
 
     Null or empty pages have no text likelihood and no declaration: the prior of their address decides. Pages without an address use
-    the prior of all pages. Ties go to the first language by name; without labelled texts lang is null.
+    the prior of all pages. Ties go to the first language by name; without labelled texts lang is null. Very long pages are counted
+    by kinds of trigrams. More than MAX_LANGUAGES values of lang raise an error.
     """
     langs, table = fit_models(narrow(labelled, "text", "lang"))
     pages = narrow(pages, "page_id", "url", "html")
