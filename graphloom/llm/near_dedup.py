@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.shared import drop_settled, narrow, settle
+from graphloom.llm.shared import carried, drop_settled, narrow, settle
 
 WORDS = 5
 THRESHOLD_PERCENT = 75
@@ -81,7 +81,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hi.append(int(_mix(s ^ WEIGHTS[0]).sum(dtype=np.uint64).astype(np.int64)))
             lo.append(int(_mix(s ^ WEIGHTS[1]).sum(dtype=np.uint64).astype(np.int64)))
             sig.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "hi", "lo", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary()), *batch.columns[2:]], ["doc_id", "n_shingles", "hi", "lo", "sig", *batch.schema.names[2:]])
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -275,14 +275,19 @@ def _with_component(df: DataFrame, column: str, labels: DataFrame, name: str) ->
     return df.join(found, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id and kept.
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept and the columns in ``carry``.
 
     A text without words has an empty set and links with nothing; so does a row with null doc_id, whose component is null and
-    which is kept. Rows of one doc_id are one document. Copies share a node, however many they are.
+    which is kept. Rows of one doc_id and text are one document; of one doc_id with several texts each row goes by its own text.
+    Copies share a node, however many they are.
     """
-    texts = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body"))
-    rows = settle(texts.mapInArrow(_nodes, "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, sig binary"), "sets")
+    docs = narrow(docs, "doc_id", "text", carry=carry)
+    along = docs.columns[2:]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body"), *along)
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in along)
+    rows = settle(texts.mapInArrow(_nodes, "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, sig binary" + kinds), "sets")
+    texts = texts.select("doc_id", "body")
     real = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = settle(real.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
     nodes = settle(real.join(classes.select(F.col("node").alias("doc_id"), F.col("hi").alias("hi_"), F.col("lo").alias("lo_")), "doc_id").filter("hi = hi_ AND lo = lo_").select(F.col("doc_id").alias("node"), "n_shingles", "sig"), "nodes")
@@ -310,6 +315,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     named = _with_component(classes, "node", labels, "component_id").select("hi", "lo", "n_shingles", "component_id")
     full = rows.withColumn("real", F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    inside = full.filter("real").join(named, ["hi", "lo", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    outside = full.filter("NOT real").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return inside.unionByName(outside).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    inside = full.filter("real").join(named, ["hi", "lo", "n_shingles"]).select("doc_id", "n_shingles", "component_id", *along)
+    outside = full.filter("NOT real").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *along)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return inside.unionByName(outside).select("doc_id", "n_shingles", "component_id", kept, *carried(carry))

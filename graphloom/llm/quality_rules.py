@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import WORD_SPACE, WORD_SPACE_CHARS, narrow, settle
+from graphloom.llm.shared import WORD_SPACE, WORD_SPACE_CHARS, carried, handed_out, narrow, settle
 
 #: Fixed values of the base rule.
 SYMBOLS = "#*$%&|<>"
@@ -34,6 +34,8 @@ CUTOFF = 68.0
 #: Groups with fewer rows take the estimate of their language, and those of all rows after that.
 MIN_GROUP = 100
 STEPS = 4
+#: Estimates that are broadcast at most; more are joined by their keys. An estimate has 23 numbers.
+MAX_BROADCAST_GROUPS = 100_000
 #: Bins of a squared distance per factor e; the closest rows are told by bins, not by sorting.
 BINS = 64
 
@@ -126,14 +128,15 @@ def distance() -> Column:
     return reduce(lambda a, b: a + b, [t * t for t in terms])
 
 
-def _closest(rows: DataFrame, at: Column) -> DataFrame:
+def _closest(rows: DataFrame, at: Column, groups: int) -> DataFrame:
     """The SUPPORT of each ``grp`` and ``start`` with the smallest ``at``, to the end of a bin. Counts of bins are all that is shuffled."""
     binned = rows.withColumn("bin", F.floor(F.log(at + 1e-6) * BINS).cast("int"))
     by = W.partitionBy("grp", "start")
     counts = binned.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("c"))
     counts = counts.withColumn("upto", F.sum("c").over(by.orderBy("bin"))).withColumn("all", F.sum("c").over(by))
     limits = counts.filter(F.col("upto") >= F.ceil(F.col("all") * SUPPORT)).groupBy("grp", "start").agg(F.min("bin").alias("limit"))
-    return binned.join(limits.withColumnsRenamed({"grp": "grp_", "start": "start_"}), (F.col("grp") == F.col("grp_")) & (F.col("start") == F.col("start_"))).filter("bin <= limit").drop("grp_", "start_")
+    limits = handed_out(limits.withColumnsRenamed({"grp": "grp_", "start": "start_"}), groups, MAX_BROADCAST_GROUPS)
+    return binned.join(limits, (F.col("grp") == F.col("grp_")) & (F.col("start") == F.col("start_"))).filter("bin <= limit").drop("grp_", "start_")
 
 
 def fit_mcd(rows: DataFrame) -> DataFrame:
@@ -148,22 +151,23 @@ def fit_mcd(rows: DataFrame) -> DataFrame:
     fit = flat.withColumn("start", F.lit(0)).unionByName(full.withColumn("start", F.lit(1)))
     for step in range(STEPS):
         fit = settle(fit, f"mcd-{step}")
-        at = rows.join(fit.withColumnRenamed("grp", "grp_"), F.col("grp") == F.col("grp_")).drop("grp_")
+        groups = fit.count()
+        at = rows.join(handed_out(fit.withColumnRenamed("grp", "grp_"), groups, MAX_BROADCAST_GROUPS), F.col("grp") == F.col("grp_")).drop("grp_")
         at = at.select("grp", "start", *DIMENSIONS, distance().alias("d2"))
-        fit = _estimate(_moments(_closest(at, F.col("d2")), ["grp", "start"]), ["grp", "start"])
+        fit = _estimate(_moments(_closest(at, F.col("d2"), groups), ["grp", "start"]), ["grp", "start"])
     fit = settle(fit, "mcd")
     best = fit.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     return fit.join(best, ["grp", "start"]).drop("start")
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, the base counts, base_failed, distance2 and kept.
+def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, the base counts, base_failed, kept, distance2 and the columns in ``carry``.
 
     Rows that fail the base rule take no part in the estimates and are not kept. A group is a language and a
     source; null, or fewer than MIN_GROUP rows: the language's estimate, then that of all rows. Each row is judged by itself:
     repeated rows and ids stay, null texts count as empty. Of no usable estimate (no row passes): kept follows the base rule.
     """
-    base = text_statistics(narrow(docs, "doc_id", "text", "lang", "source")).drop("text")
+    base = text_statistics(narrow(docs, "doc_id", "text", "lang", "source", carry=carry)).drop("text")
     base = base.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     base = settle(base.withColumns(vectors()), "quality")
     by_lang = F.concat(F.lit("L"), F.coalesce("lang", F.lit("")))
@@ -171,13 +175,15 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     passed = base.filter(~F.col("base_failed"))
     sizes = passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     known = sizes.select(by_source.alias("grp"), "n").unionByName(sizes.groupBy("lang").agg(F.sum("n").alias("n")).select(by_lang.alias("grp"), "n")).filter(F.col("n") >= MIN_GROUP)
-    levels = settle(passed.select(F.explode(F.array(by_source, by_lang, F.lit("A"))).alias("grp"), *DIMENSIONS).join(known.select("grp").unionByName(docs.sparkSession.range(1).select(F.lit("A").alias("grp"))), "grp", "left_semi"), "mcd-rows")
+    known = settle(known.select("grp").unionByName(docs.sparkSession.range(1).select(F.lit("A").alias("grp"))), "mcd-groups")
+    groups = known.count()
+    levels = settle(passed.select(F.explode(F.array(by_source, by_lang, F.lit("A"))).alias("grp"), *DIMENSIONS).join(handed_out(known, groups, MAX_BROADCAST_GROUPS), "grp", "left_semi"), "mcd-rows")
     fit = settle(fit_mcd(levels), "mcd-fit")
-    level = lambda key, tag: fit.withColumnsRenamed({c: f"{tag}{c}" for c in fit.columns}).withColumnRenamed(f"{tag}grp", key)
-    keyed = base.withColumns({"k1": by_source, "k2": by_lang, "k3": F.lit("A")})
-    for key, tag in (("k1", "a_"), ("k2", "b_"), ("k3", "c_")):
-        keyed = keyed.join(level(key, tag), key, "left")
-    chosen = {c: F.when(F.col("a_n").isNotNull(), F.col(f"a_{c}")).when(F.col("b_n").isNotNull(), F.col(f"b_{c}")).otherwise(F.col(f"c_{c}")) for c in fit.columns if c != "grp"}
+    names = [c for c in fit.columns if c != "grp"]
+    of_all = fit.filter("grp = 'A'").first()
+    level = lambda key, tag: handed_out(fit.withColumnsRenamed({c: f"{tag}{c}" for c in names} | {"grp": key}), groups, MAX_BROADCAST_GROUPS)
+    keyed = base.withColumns({"k1": by_source, "k2": by_lang}).join(level("k1", "a_"), "k1", "left").join(level("k2", "b_"), "k2", "left")
+    chosen = {c: F.when(F.col("a_n").isNotNull(), F.col(f"a_{c}")).when(F.col("b_n").isNotNull(), F.col(f"b_{c}")).otherwise(F.lit(of_all[c] if of_all else None).cast("double")) for c in names}
     judged = keyed.withColumns(chosen).withColumn("distance2", distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("distance2", 6).alias("distance2"))
+    return judged.select(*([] if "doc_id" in carry else ["doc_id"]), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("distance2", 6).alias("distance2"), *carried(carry))

@@ -20,8 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of this machine only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where all tasks run on this machine may it be unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
@@ -52,10 +54,22 @@ def drop_settled(df: DataFrame) -> None:
         _remove(df.sparkSession, file)
 
 
-def narrow(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra or clashing columns of the caller cannot interfere; a missing one is null."""
+def narrow(df: DataFrame, *names: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Only the named columns, so that extra or clashing columns of the caller cannot interfere; a missing one is null.
+
+    Those in ``carry`` come along as "carried 0" and so on; ``carried`` names them back.
+    """
     have = set(df.columns)
-    return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).cast("string").alias(n) for n in names])
+    return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).cast("string").alias(n) for n in names], *[F.col(f"`{c}`").alias(f"carried {i}") for i, c in enumerate(carry)])
+
+
+def carried(carry: tuple[str, ...]) -> list[Column]:
+    return [F.col(f"carried {i}").alias(c) for i, c in enumerate(carry)]
+
+
+def handed_out(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """``df``, known to have at most ``rows`` rows, to be broadcast if those are few; else it is joined by its keys."""
+    return F.broadcast(df) if rows <= most else df
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import capped, held_out, narrow, settle
+from graphloom.llm.shared import capped, carried, held_out, narrow, settle
 
 #: Common insults that need no label.
 SEED_WORDS = "clown disgusting dumb fool garbage idiot imbecile jerk loser moron pathetic scum stupid trash vermin worthless".split()
@@ -132,7 +132,7 @@ def _vote(terms: list[str], of: list[int], n_lexicons: int):
                 patterns = "".join("+" if p.search(text) else "." for p in _PATTERNS)
                 votes.append(lexicons + ("+" if hits & seeds else ".") + shares + patterns + ("." if hits else "-"))
                 found.append(sorted(hits) + [len(terms) + k for k, r in enumerate(reached) if r])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.string()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "votes", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.string()), pa.array(found, pa.list_(pa.int32())), *batch.columns[2:]], ["doc_id", "votes", "terms", *batch.schema.names[2:]])
 
     return run
 
@@ -190,13 +190,13 @@ def fit_linear(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 0.0
     return beta
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, score, predicted and the posterior of the label model.
+def toxicity(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, held_out, score, predicted, the posterior of the label model and the columns in ``carry``.
 
     Null and empty texts hold no term and get the score of such texts. A label that is null teaches nothing; of several
     labels of one doc_id each counts. Without any label the seed words vote alone.
     """
-    docs = narrow(docs, "doc_id", "text")
+    docs = narrow(docs, "doc_id", "text", carry=carry)
     labels = narrow(labels, "doc_id", "toxic").select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)").filter(~held_out(F.col("doc_id")))
     few = [capped(labels.filter(F.col("toxic") == y), F.col("doc_id"), MAX_LABELLED) for y in (0, 1)]
     labelled = settle(docs.join(F.broadcast(few[0].unionByName(few[1])), "doc_id").select("text", "toxic"), "labelled")
@@ -204,7 +204,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     terms = mine_terms(labelled)
     names, of = make_voters(terms)
     n_lexicons = _TIERS * (1 + len(PREFIXES))
-    voted = settle(docs.mapInArrow(_vote([t for t, _ in terms], of.tolist(), n_lexicons), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, votes string, terms array<int>"), "votes")
+    along = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns[2:])
+    voted = settle(docs.mapInArrow(_vote([t for t, _ in terms], of.tolist(), n_lexicons), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, votes string, terms array<int>{along}"), "votes")
 
     # one row for each pattern of the dozen voters
     patterns = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()
@@ -226,4 +227,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     logit = F.lit(float(beta[-1])) + F.aggregate("terms", F.lit(0.0), lambda s, t: s + F.get(weights, t))
     score = 1 / (1 + F.exp(-logit))
     out = scored.withColumn("score", score)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "posterior")
+    return out.select(*([] if "doc_id" in carry else ["doc_id"]), held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "posterior", *carried(carry))

@@ -4,6 +4,8 @@ import hashlib
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 from graphloom.llm.near_dedup import near_duplicates
@@ -54,6 +56,25 @@ def test_odd_rows(spark, sf_dir, odd_docs, no_docs):
                 assert got.count() <= docs.count()
 
 
+def test_rows_of_one_id_are_judged_apart(spark, sf_dir):
+    """A null or repeated id that is rejected once takes no other row of it along."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
+    good = [" ".join(f"{w}{k}" for w in words) for k in range(3)]
+    rows = [(None, good[0]), (None, "junk"), (7, good[1]), (7, "junk"), (8, good[2])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = sorted(map(str, [(None, good[0]), (7, good[1]), (8, good[2])]))
+    texts = lambda df: sorted(str((r["doc_id"], r["text"])) for r in df.collect())
+    docs = pipeline.quality_stage(spark, docs, sf_dir)
+    assert texts(docs) == want
+    docs = pipeline.toxicity_stage(spark, docs, sf_dir)
+    assert texts(docs) == want
+    more = docs.unionByName(docs.filter("doc_id = 8").withColumn("doc_id", F.lit(9)))
+    assert texts(pipeline.near_stage(spark, more, sf_dir)) == want
+    # 7 has two texts; the one that is a copy of 3's goes, the other stays
+    twice = docs.filter("doc_id = 8").withColumn("doc_id", F.explode(F.array(F.lit(3), F.lit(7)))).unionByName(docs.filter("doc_id IS NULL OR doc_id = 7"))
+    assert texts(pipeline.near_stage(spark, twice, sf_dir)) == sorted(map(str, [(None, good[0]), (7, good[1]), (3, good[2])]))
+
+
 def test_near_stage_is_of_one_mind_with_its_operator(spark, sf_dir, odd_docs):
     assert sorted(map(str, (r["doc_id"] for r in pipeline.near_stage(spark, odd_docs, sf_dir).collect()))) == sorted(str(r["doc_id"]) for r in near_duplicates(odd_docs).filter("kept").collect())
 

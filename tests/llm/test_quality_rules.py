@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter
 
-from graphloom.llm.quality_rules import quality_rules
+import numpy as np
+
+from graphloom.llm.quality_rules import CONSISTENCY, CUTOFF, DIMENSIONS, FLOORS, STEPS, SUPPORT, quality_rules, text_statistics, vectors
 
 
 def brute(text):
@@ -50,6 +52,40 @@ def test_planted_outliers(spark):
     assert not any(kept for d, kept in got.items() if d >= 1000)
 
 
+def reference_mcd(x):
+    """Squared distances by concentration steps in numpy, the closest rows told by sorting."""
+    def estimate(rows):
+        centre = rows.mean(axis=0)
+        return centre, CONSISTENCY * np.cov(rows.T, bias=True) + np.diag(np.square(FLOORS))
+
+    def far(fit):
+        dev = x - fit[0]
+        return np.einsum("ni,ij,nj->n", dev, np.linalg.inv(fit[1]), dev)
+
+    fits = []
+    for fit in ((np.median(x, axis=0), np.diag(np.square(FLOORS))), estimate(x)):
+        for _ in range(STEPS):
+            fit = estimate(x[np.argsort(far(fit), kind="stable")[: int(np.ceil(SUPPORT * len(x)))]])
+        fits.append(fit)
+    return far(min(fits, key=lambda f: np.linalg.slogdet(f[1])[1]))
+
+
+def test_distances_against_brute_force(spark):
+    rng = random.Random(2)
+    letters = "etaoinshrdlucmfwETA#$"
+    prose = lambda: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(60, 300)))
+    docs = [(k, prose() if k % 9 else prose().upper().replace(" ", "## "), "en", "web") for k in range(500)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")
+    rows = [r for r in text_statistics(df).select("doc_id", *[c.alias(n) for n, c in vectors().items()]).orderBy("doc_id").collect()]
+    want = reference_mcd(np.array([[r[d] for d in DIMENSIONS] for r in rows]))
+    got = {r["doc_id"]: r for r in quality_rules(df).collect()}
+    far = np.array([got[k]["distance2"] for k in range(500)])
+    assert np.median(np.abs(far - want) / want) < 0.05
+    sure = np.abs(np.log(want / CUTOFF)) > 0.2
+    assert sure.mean() > 0.9
+    assert all(got[k]["kept"] == (want[k] <= CUTOFF) for k in np.flatnonzero(sure))
+
+
 def test_main_path_has_no_python(documents):
     plan = quality_rules(documents)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
