@@ -17,18 +17,12 @@ from graphloom.llm.toxicity import toxicity
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` but the rows whose doc_id is rejected; null equals null."""
-    ids = rejected.select(F.col("doc_id").alias("rejected_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["rejected_id"]), "left_anti").select(*COLUMNS)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality_rules(docs).filter(~F.col("kept")))
+    return quality_rules(docs, carry=COLUMNS).filter("kept").select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
+    return toxicity(docs, table(spark, sf_dir, "labels"), carry=COLUMNS).filter("predicted = 0").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +30,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_duplicates(docs).filter(~F.col("kept")))
+    """Texts stay out of the search: they are joined to the verdicts by doc_id and a hash of the text, which equal rows share."""
+    row = F.xxhash64("text")
+    gone = near_duplicates(docs.withColumn("row", row), carry=("row",)).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_row"]), "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
