@@ -110,17 +110,24 @@ def precedence(found: DataFrame) -> DataFrame:
     return found.filter("kind = 'precedence'").select("file_name", F.col("ref").alias("from_task"), F.col("direction").alias("to_task"), "value")
 
 
-def execution_order(found: DataFrame, most: int = 64) -> DataFrame:
-    """Tasks with their step: one more than the latest of those before; found by as many joins as the longest chain has steps."""
+def execution_order(found: DataFrame) -> DataFrame:
+    """Tasks with their step: one more than the latest of those before. Tasks on a cycle, or behind one, have none (null).
+
+    A join a step, up to the number of tasks of the file with the most.
+    """
     with_checkpoints(found.sparkSession)
-    rules = precedence(found).select("file_name", "from_task", "to_task")
+    rules = precedence(found).select("file_name", "from_task", "to_task").distinct()
     ends = rules.select("file_name", F.col("from_task").alias("task")).unionByName(rules.select("file_name", F.col("to_task").alias("task"))).distinct()
-    level = ends.withColumn("step", F.lit(0))
+    sizes = ends.groupBy("file_name").agg(F.count(F.lit(1)).alias("tasks"))
+    level = ends.join(sizes, "file_name").withColumn("step", F.lit(0)).checkpoint()
+    most = level.agg(F.max("tasks")).first()[0] or 0
     for _ in range(most):
-        at = level.select("file_name", F.col("task").alias("from_task"), "step")
-        pushed = at.join(rules, ["file_name", "from_task"]).select("file_name", F.col("to_task").alias("task"), (F.col("step") + 1).alias("step"))
-        nxt = level.unionByName(pushed).groupBy("file_name", "task").agg(F.max("step").alias("step")).checkpoint()
-        if nxt.exceptAll(level).isEmpty():
-            return nxt
+        at = level.select("file_name", F.col("task").alias("from_task"), "step", "tasks")
+        pushed = at.join(rules, ["file_name", "from_task"]).select("file_name", F.col("to_task").alias("task"), "tasks", F.least(F.col("step") + 1, F.col("tasks")).cast("int").alias("step"))
+        nxt = level.unionByName(pushed).groupBy("file_name", "task", "tasks").agg(F.max("step").alias("step")).checkpoint()
+        done = nxt.exceptAll(level).isEmpty()
         level = nxt
-    return level
+        if done:
+            break
+    # a walk of as many steps as there are tasks has met one twice
+    return level.select("file_name", "task", F.when(F.col("step") < F.col("tasks"), F.col("step")).alias("step"))

@@ -15,7 +15,11 @@ def session(name: str = "graphloom", **conf: str) -> SparkSession:
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """A checkpoint folder where the cluster names none."""
+    """The checkpoint folder that the cluster names; a folder of this machine only where all tasks run on it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and spark.sparkContext.getCheckpointDir() is None:
+    if named:
+        spark.sparkContext.setCheckpointDir(named)
+    elif spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))

@@ -1,9 +1,8 @@
-"""Extractors over the small artifacts that the queries embed."""
+"""Extractors over small artifacts; tests/test_oracle.py holds the registered queries against stated facts."""
 
 import pytest
 
 from graphloom.extract import sql, ssis
-from graphloom.plans import extract_queries as Q
 from graphloom.sources.files import inline
 
 
@@ -11,12 +10,8 @@ def rows(df):
     return [r.asDict() for r in df.collect()]
 
 
-def test_sql_script(spark):
-    tables = {r["table"] for r in rows(Q.sql_tables(spark, ""))}
-    assert tables == {"Db1.dbo.tbl_a", "Db2.dbo.tbl_b", "Db3.dbo.tbl_c"}
-    assert len(rows(Q.sql_joins(spark, ""))) == 1
-    assert len(rows(Q.sql_cases(spark, ""))) == 2
-    assert {"SUM", "MAX"} == {r["function"] for r in rows(Q.sql_functions(spark, ""))}
+def script(spark, text):
+    return sql.prepared(inline(spark, {"x.sql": text}))
 
 
 def test_sql_of_nothing(spark):
@@ -26,28 +21,36 @@ def test_sql_of_nothing(spark):
         assert rows(sql.cases(prepared)) == []
 
 
-def test_cobol_program(spark):
-    assert len(rows(Q.cobol_divisions(spark, ""))) == 4
-    assert len(rows(Q.cobol_paragraphs(spark, ""))) == 2
-    found = {(r["type"], r["target"]) for r in rows(Q.cobol_relationships(spark, ""))}
-    assert {t for k, t in found if k == "OPENS"} == {"FILE-A", "FILE-B", "FILE-C"}
-    assert {t for k, t in found if k == "CLOSES"} == {"FILE-A", "FILE-B"}
-    assert {t for k, t in found if k == "PERFORMS"} == {"READ-STEP"}
+def test_clauses_end_with_their_brackets(spark):
+    text = "SELECT a FROM (SELECT b FROM m JOIN n ON m.k = n.k WHERE m.o = 'it''s (x' ) AS d RIGHT OUTER JOIN [a b].[c] w WITH (NOLOCK) ON w.k = d.b ORDER BY 1"
+    found = script(spark, text)
+    assert {(r["join_type"], r["table"], r["alias"], r["condition"]) for r in rows(sql.joins(found))} == {("JOIN", "n", None, "m.k = n.k"), ("RIGHT OUTER JOIN", "a b.c", "w", "w.k = d.b")}
+    assert [r["condition"] for r in rows(sql.where_conditions(found))] == ["m.o = 'it''s (x'"]
+    assert rows(sql.where_conditions(found, legacy=True))[0]["condition"].endswith("ON w.k = d.b")
 
 
-def test_package(spark):
-    assert {r["name"] for r in rows(Q.ssis_tasks(spark, ""))} == {"T0", "T1"}
-    assert [(r["source"], r["target"]) for r in rows(Q.ssis_flows(spark, ""))] == [("SRC", "DST")]
-    assert {(r["task"], r["step"]) for r in rows(Q.ssis_execution_order(spark, ""))} == {("T0", 0), ("T1", 1)}
+def test_inner_cases(spark):
+    found = script(spark, "SELECT CASE WHEN a = 1 THEN CASE WHEN b = 2 THEN 'x' WHEN c = 3 THEN f(4) END ELSE 5 END AS r, CASE WHEN d = 6 THEN 7 END")
+    assert {(r["target_column"], r["condition"], r["result"]) for r in rows(sql.business_rules(found))} == {("r", "a = 1", "(CASE)"), (None, "b = 2", "'x'"), (None, "c = 3", "f(4)"), (None, "d = 6", "7")}
+    assert {(r["target_column"], r["condition"], r["result"]) for r in rows(sql.business_rules(found, legacy=True))} == {("r", "a = 1", "CASE"), ("r", "b = 2", "'x'"), ("r", "c = 3", "f(4)"), (None, "d = 6", "7")}
+
+
+def test_long_script(spark):
+    """A megabyte in one condition."""
+    found = script(spark, "SELECT a FROM t WHERE " + " AND ".join(f"c{i} = {i}" for i in range(60_000)))
+    assert [len(r["condition"]) > 1_000_000 for r in rows(sql.where_conditions(found))] == [True]
+    assert len(rows(sql.tables(found))) == 1
+
+
+def test_steps_of_a_cycle_are_unknown(spark):
+    rule = '<D:PrecedenceConstraint D:From="{}" D:To="{}"/>'
+    pairs = [("A", "B"), ("B", "C"), ("C", "B"), ("C", "D"), *((f"N{i}", f"N{i + 1}") for i in range(70))]
+    package = '<D:Executable xmlns:D="urn:x"><D:PrecedenceConstraints>' + "".join(rule.format(*p) for p in pairs) + "</D:PrecedenceConstraints></D:Executable>"
+    step = {r["task"]: r["step"] for r in rows(ssis.execution_order(ssis.facts(inline(spark, {"x.dtsx": package}))))}
+    assert (step["A"], step["B"], step["C"], step["D"], step["N70"]) == (0, None, None, None, 70)
 
 
 @pytest.mark.parametrize("text", ["", "<open>", "no xml"])
 def test_broken_package_is_one_error(spark, text):
     found = rows(ssis.facts(inline(spark, {"x.dtsx": text})))
     assert [r["kind"] for r in found] == ["error"]
-
-
-def test_template_columns(spark):
-    got = Q.structured_extraction(spark, "")
-    assert got.columns[:5] == ["Database", "Schema", "Table", "Alias", "Columns"]
-    assert got.count() == 3
