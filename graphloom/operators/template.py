@@ -9,7 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import collapse, suffix_of
 from graphloom.functions.vocabulary import CONCEPTS
+from graphloom.operators.windows import carried_forward
 
 UNKNOWN = "UNKNOWN / Not specified"
 DEFAULT = ("Schema", "Database", "Table", "Columns")
@@ -83,6 +85,50 @@ def table_rows(sql: DataFrame) -> DataFrame:
     return full.drop("key", "table").withColumn("column_list", F.coalesce("column_list", F.array().cast("array<string>")))
 
 
+def program_rows(programs: DataFrame) -> DataFrame:
+    """One row per record or level-77 item of a COBOL program: section as schema, PROGRAM-ID as database, its named items as columns.
+
+    Formulas of COMPUTE, over all their lines, are the transformation of the item they compute.
+    """
+    from graphloom.extract import cobol
+
+    lines = cobol.program_lines(programs)
+    section = F.nullif(F.upper(F.regexp_extract("code", r"(?i)^\s*([A-Za-z0-9-]+)\s+SECTION\b", 1)), F.lit(""))
+    sections = carried_forward(lines, "file_name", "line", section, "section").select("file_name", "line", "section")
+    program = lines.groupBy("file_name").agg(F.max(F.nullif(F.upper(F.regexp_extract("code", r"(?i)PROGRAM-ID\.\s*([A-Za-z0-9-]+)", 1)), F.lit(""))).alias("program"))
+    computed = programs.select("file_name", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)\bCOMPUTE\s+([A-Za-z0-9-]++[^.]*+)"), F.lit(1))).alias("formula"))
+    formulas = computed.select("file_name", F.upper(F.regexp_extract("formula", r"^([A-Za-z0-9-]+)", 1)).alias("name"), collapse(F.col("formula")).alias("formula"))
+    items = cobol.variables(lines).join(formulas, ["file_name", "name"], "left")
+    groups = items.groupBy("file_name", "record").agg(F.min("line").alias("line"), F.array_sort(F.collect_set(F.struct("line", "name"))).alias("items"), F.array_join(F.array_sort(F.collect_set("formula")), "; ").alias("formulas"))
+    named = groups.join(sections, ["file_name", "line"]).join(program, "file_name")
+    none = F.lit(None).cast("string")
+    return named.select("file_name", F.col("record").alias("table_name"), F.col("section").alias("schema_name"), F.col("program").alias("database_name"), none.alias("alias"), F.filter(F.col("items.name"), lambda x: x != F.col("record")).alias("column_list"), none.alias("joins"), F.nullif("formulas", F.lit("")).alias("transformation"))
+
+
+def package_rows(packages: DataFrame) -> DataFrame:
+    """One row per component of a package: its task as schema, the package as database, its properties as columns."""
+    from graphloom.extract import ssis
+
+    found = ssis.facts(packages)
+    package = found.filter("kind = 'package'").select("file_name", F.col("name").alias("database_name"))
+    statements = ssis.sql_statements(found).groupBy("file_name", "task", "name").agg(F.array_join(F.array_sort(F.collect_set("sql")), "; ").alias("transformation"))
+    rows = ssis.components(found).join(statements, ["file_name", "task", "name"], "left").join(package, "file_name", "left")
+    none = F.lit(None).cast("string")
+    columns = F.coalesce(F.array_sort(F.map_keys("properties")), F.array().cast("array<string>"))
+    return rows.select("file_name", F.col("name").alias("table_name"), F.col("task").alias("schema_name"), "database_name", none.alias("alias"), columns.alias("column_list"), none.alias("joins"), "transformation")
+
+
+def rows_of(files: DataFrame) -> DataFrame:
+    """Rows of files (file_name, text) by their extension: COBOL programs, packages, and scripts for all the rest."""
+    from graphloom.extract import sql as S
+
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in {".cbl": "program", ".cob": "program", ".cpy": "program", ".dtsx": "package", ".xml": "package"}.items() for x in pair]), suffix_of(F.col("file_name"))), F.lit("script"))
+    told = files.withColumn("__kind", kind)
+    some = lambda k: told.filter(F.col("__kind") == k).select("file_name", "text")
+    scripts = table_rows(S.prepared(some("script"))).drop("pos").withColumn("transformation", F.lit(None).cast("string"))
+    return program_rows(some("program")).unionByName(package_rows(some("package"))).unionByName(scripts)
+
+
 def extract(rows: DataFrame, template: Template) -> DataFrame:
     """``rows`` in the layout of the template, without repeated rows. What a row does not tell is named unknown."""
     if template.row_per_column:

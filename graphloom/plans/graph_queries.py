@@ -73,12 +73,13 @@ GRAPH_EDGES = f"SELECT src, type, split_part(dst, ':', 1) AS dst_type, split_par
 
 
 def edge_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    """Edges within the sub-graph of orders, places and the customers whose id ends in 0 or 5."""
-    some = nodes(spark, d).filter("label IN ('ORDER', 'NATION', 'REGION') OR (label = 'CUSTOMER' AND substr(id, -1) IN ('0', '5'))")
-    return graph.within(edges(spark, d), some)
+    """Edges within the sub-graph of orders, places and the customers whose balance is not negative."""
+    some = nodes(spark, d).filter("label IN ('ORDER', 'NATION', 'REGION')").select("id")
+    solvent = table(spark, d, "customer").filter("c_acctbal >= 0").select(F.concat(F.lit("CUSTOMER:"), "c_custkey").alias("id"))
+    return graph.within(edges(spark, d), some.unionByName(solvent))
 
 
-EDGE_SEMI_JOIN = f"WITH s AS (SELECT id FROM {NODES_SQL} n WHERE label IN ('ORDER', 'NATION', 'REGION') OR (label = 'CUSTOMER' AND right(id, 1) IN ('0', '5'))) SELECT src, type, dst FROM {EDGES_SQL} e WHERE src IN (SELECT id FROM s) AND dst IN (SELECT id FROM s)"
+EDGE_SEMI_JOIN = f"WITH s AS (SELECT id FROM {NODES_SQL} n WHERE label IN ('ORDER', 'NATION', 'REGION') UNION ALL SELECT 'CUSTOMER:' || c_custkey FROM customer WHERE c_acctbal >= 0) SELECT src, type, dst FROM {EDGES_SQL} e WHERE src IN (SELECT id FROM s) AND dst IN (SELECT id FROM s)"
 
 
 def entity_upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
