@@ -12,6 +12,7 @@ residual does not prove to be farther, however many share a code or nearly so, a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import drop_settled, narrow, settle
+from graphloom.llm.shared import narrow, settle
 
 K = 10
 #: Vectors that the codebooks are fitted on at most.
@@ -30,8 +31,8 @@ CENTRES = 16
 #: Share of a vector's norm that a query must score to matter; sets the weight of parallel residuals.
 MATTERS = 0.2
 FIT_STEPS = 6
-#: Queries that are handed to all tasks at a time.
-QUERY_BLOCK = 4096
+#: Queries that are handed to all tasks at a time at most, and bytes of their tables of scores.
+QUERY_BLOCK, TABLE_BYTES = 4096, 64 << 20
 #: Vectors and queries that the second scan compares at a time, and the pairs it holds before it keeps the nearest.
 SCAN_ROWS, SCAN_QUERIES, HELD_PAIRS = 2048, 512, 200_000
 
@@ -141,7 +142,7 @@ def _scan(queries, model, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, books, _ = model.value
-        query_ids, vectors = queries.value
+        query_ids, vectors, _ = queries.value
         tables = np.einsum("qsd,skd->qsk", _split(vectors - mean), books).astype(np.float32)
         pairs = (tables[:, 0::2, None, :] + tables[:, 1::2, :, None]).reshape(len(tables), -1, 256)  # low code last, as packed
         held = [(np.empty(0, np.float32), np.empty(0, np.int64))] * len(query_ids)
@@ -254,48 +255,63 @@ def _rest(queries, model, k: int):
 
 
 def usable(vectors: DataFrame, column: str) -> DataFrame:
-    """(vec_id, v) of the vectors that take part: not null, finite, not zero, of the commonest length; ids not null."""
+    """(vec_id, v) of the vectors that take part: not null, finite, not zero; ids not null. A repeated id has its smallest vector."""
     v = F.col(column).cast("array<double>")
     some = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     some = some.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    length = some.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    return some.filter(F.size("v") == (length["d"] if length else 0))
+    return some.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def query_block(dims: int) -> int:
+    """Queries of a block: a query's table has 256 scores of four bytes for every four dimensions."""
+    return max(64, min(QUERY_BLOCK, TABLE_BYTES // (1024 * -(-dims // 4))))
 
 
 def nearest_neighbours(vectors: DataFrame, column: str = "embedding", k: int = K, every: int = 100, rerank: int = RERANK) -> DataFrame:
     """The ``k`` nearest by Euclidean distance for each vector whose id is divisible by ``every``: query_id, rank, vec_id, score.
 
     Every row is indexed; the codebooks come from ``FIT_ROWS`` rows at most. The neighbours are exact, whatever ``rerank`` is.
-    Copies of a vector tie and go by id. A repeated id is one vector (its copies are never its own neighbours).
+    Copies of a vector tie and go by id. A repeated id is one vector (its copies are never its own neighbours). Vectors of different
+    lengths have no distance: those of each length are searched among themselves.
     """
-    spark = vectors.sparkSession
-    rows = settle(usable(narrow(vectors, "vec_id", column), column).dropDuplicates(["vec_id"]), "vectors")
-    empty = "query_id bigint, rank int, vec_id bigint, score double"
+    rows = settle(usable(narrow(vectors, "vec_id", column), column), "vectors")
+    lengths = sorted(r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect())
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return reduce(DataFrame.unionByName, [_nearest(rows.filter(F.size("v") == d), d, k, every, rerank) for d in lengths])
+
+
+def _nearest(rows: DataFrame, dims: int, k: int, every: int, rerank: int) -> DataFrame:
+    spark = rows.sparkSession
     n = rows.count()
-    if n == 0:
-        return spark.createDataFrame([], empty)
     sample = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) <= int(1_000_000 * min(1, FIT_ROWS / n))).select("v").limit(FIT_ROWS).collect()
     fit = np.unique(np.array([r["v"] for r in sample or rows.select("v").limit(1).collect()]), axis=0)  # copies count once
     mean = fit.mean(axis=0)
     weight = parallel_weight(fit.shape[1])
     model = spark.sparkContext.broadcast((mean, fit_books(fit - mean, weight), weight))
     codes = settle(rows.mapInArrow(_encode(model), "vec_id bigint, v array<double>, code binary, half double, residual double"), "codes")
-    drop_settled(rows)
     rows = codes.select("vec_id", "v")
 
     asked = rows.filter(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    blocks = max(1, -(-asked.count() // query_block(dims)))
 
     def block(table: DataFrame, b: int) -> tuple:
         part = table.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)) == b).orderBy("vec_id").collect()
         return np.array([r["vec_id"] for r in part], np.int64), np.array([r["v"] for r in part]).reshape(len(part), fit.shape[1]), part
 
-    found = None
-    for b in range(blocks):
-        queries = spark.sparkContext.broadcast(block(asked, b)[:2])
-        scanned = codes.select("vec_id", "code", "half").mapInArrow(_scan(queries, model, rerank), "query_id bigint, scores array<float>, ids array<bigint>")
-        near = scanned.groupBy("query_id").applyInArrow(_merged(rerank), "query_id bigint, vec_id bigint")
-        found = near if found is None else found.unionByName(near)
+    def pass_over(table: DataFrame, scan, merge=None) -> DataFrame:
+        """One scan for each block of queries, each written before the next begins: neither plan nor driver grows with the queries."""
+        found = []
+        for b in range(blocks):
+            ids, own, part = block(table, b)
+            reach = np.array([np.inf if "reach" not in r or r["reach"] is None else r["reach"] for r in part])
+            queries = spark.sparkContext.broadcast((ids, own, reach))
+            near = scan(queries)
+            found.append(settle(merge(near) if merge else near, "near"))
+            queries.destroy()
+        return reduce(DataFrame.unionByName, found)
+
+    found = pass_over(asked, lambda queries: codes.select("vec_id", "code", "half").mapInArrow(_scan(queries, model, rerank), "query_id bigint, scores array<float>, ids array<bigint>"), lambda near: near.groupBy("query_id").applyInArrow(_merged(rerank), "query_id bigint, vec_id bigint"))
     exact = found.join(rows, "vec_id").join(rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     distance = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
@@ -303,11 +319,5 @@ def nearest_neighbours(vectors: DataFrame, column: str = "embedding", k: int = K
     kth = ranked.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reach"))
     asked = settle(asked.join(kth, "vec_id", "left"), "asked")
 
-    found = None
-    for b in range(blocks):
-        ids, own, part = block(asked, b)
-        reach = np.array([np.inf if r["reach"] is None else r["reach"] for r in part])
-        queries = spark.sparkContext.broadcast((ids, own, reach))
-        near = codes.select("vec_id", "v", "code", "residual").mapInArrow(_rest(queries, model, k), "query_id bigint, vec_id bigint, score double")
-        found = near if found is None else found.unionByName(near)
+    found = pass_over(asked, lambda queries: codes.select("vec_id", "v", "code", "residual").mapInArrow(_rest(queries, model, k), "query_id bigint, vec_id bigint, score double"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -42,11 +42,23 @@ def test_nothing_is_lost_in_hot_clusters(spark):
     assert got == {q: [v for v, _ in near] for q, near in want.items()}
 
 
+def test_blocks_of_queries(spark, monkeypatch):
+    """Many blocks give what one does."""
+    from graphloom.llm import nearest
+
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(400, 6)).tolist())], "vec_id bigint, embedding array<double>")
+    one = sorted(map(tuple, nearest_neighbours(df, every=5).collect()))
+    monkeypatch.setattr(nearest, "query_block", lambda dims: 30)
+    assert sorted(map(tuple, nearest_neighbours(df, every=5).collect())) == one
+    assert nearest.query_block.__name__ == "<lambda>" and len(one) == 800
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None), (4, [0.0] * 3), (5, [nan, 1.0, 0.0]), (6, [inf, 1.0, 0.0]), (7, [None, 1.0, 0.0]), (8, [0.0, 1.0, 0.0]), (9, [1.0]), (None, [1.0, 1.0, 1.0])]
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None), (4, [0.0] * 3), (5, [nan, 1.0, 0.0]), (6, [inf, 1.0, 0.0]), (7, [None, 1.0, 0.0]), (8, [0.0, 1.0, 0.0]), (9, [1.0]), (0, [3.0, 3.0, 3.0]), (100, [5.0]), (None, [1.0, 1.0, 1.0])]
     df = spark.createDataFrame([(i, v, 3.0, 1) for i, v in rows], "vec_id bigint, embedding array<double>, score double, rank int")
     got = [tuple(r) for r in nearest_neighbours(df).orderBy("rank").collect()]
-    assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 8, 2**0.5)]
+    assert sorted(got) == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 8, 2**0.5), (100, 1, 9, 4.0)]
     assert nearest_neighbours(df.limit(0)).collect() == []
     assert nearest_neighbours(df.filter("vec_id = 0")).collect() == []
