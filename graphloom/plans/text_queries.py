@@ -233,6 +233,10 @@ def point_ids(spark: SparkSession, d: str) -> DataFrame:
     return source_files(spark, d).select("file_name", T.point_id(F.col("file_name")).alias("point_id"))
 
 
+POINT_IDS = f"""SELECT file_name, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1), substr(h, 18, 3), '-', substr(h, 21, 12)) AS point_id
+FROM (SELECT file_name, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(file_name)) AS h FROM {SOURCE_FILES_SQL} f)"""
+
+
 def keyword_filter(spark: SparkSession, d: str) -> DataFrame:
     """Rows any column of which holds a text, taken literally."""
     rows = table(spark, d, "part")
@@ -255,6 +259,6 @@ QUERIES = {
         (normalised_names, NORMALISED_NAMES), (clean_identifier, CLEAN_IDENTIFIER), (token_filter, TOKEN_FILTER), (file_refs, FILE_REFS), (type_normalisation, TYPE_NORMALISATION),
         (intent_ladder, INTENT_LADDER), (answer_sections, ANSWER_SECTIONS), (section_extents, SECTION_EXTENTS), (carry_forward, CARRY_FORWARD), (nesting_depth, NESTING_DEPTH),
         (markup_extract, MARKUP_EXTRACT), (markup_links, MARKUP_LINKS), (evidence_rollup, EVIDENCE_ROLLUP), (reconcile_sets, RECONCILE_SETS), (first_summaries, FIRST_SUMMARIES),
-        (point_ids, None), (keyword_filter, KEYWORD_FILTER),
+        (point_ids, POINT_IDS), (keyword_filter, KEYWORD_FILTER),
     )
 }
