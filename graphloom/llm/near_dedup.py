@@ -11,7 +11,7 @@ pairs grows with the square of a bucket.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,10 @@ BATCH = 32
 MISS = 1e-6
 #: Nodes and bytes of text of one side that a task compares with another such side.
 BLOCK, BLOCK_BYTES = 512, 8 << 20
-#: Buckets of up to so many nodes share tasks.
+#: Buckets of up to so many nodes share cells.
 SMALL = 64
+#: Cells of a task, where there are more of them than shuffle partitions.
+TASK_CELLS = 16
 #: Ids that are broadcast at most, to read only texts that are needed; more are joined.
 MAX_BROADCAST_IDS = 1_000_000
 #: Shingles that are hashed at a time.
@@ -246,18 +248,24 @@ def _cells(placed: DataFrame, weight: str) -> DataFrame:
     Roles: 0 compared, 1 compared with, 2 both.
     """
     stats = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("out").cast("int")).alias("x"), F.sum(weight).alias("w"), F.sum(F.when(F.col("out"), F.col(weight)).otherwise(0)).alias("wx")).filter("m > 1 AND x > 0")
-    stats = stats.select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("w") / BLOCK_BYTES)).cast("int").alias("nm"), F.ceil(F.greatest(F.col("x") / BLOCK, F.col("wx") / BLOCK_BYTES)).cast("int").alias("nx"), (F.col("m") <= SMALL).alias("small"))
-    stats = settle(stats, "cells")
-    bins = max(1, stats.count() * 8 // 4096)
+    stats = stats.select("key", "m", "w", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("w") / BLOCK_BYTES)).cast("int").alias("nm"), F.ceil(F.greatest(F.col("x") / BLOCK, F.col("wx") / BLOCK_BYTES)).cast("int").alias("nx"))
+    stats = settle(stats.withColumn("whole", (F.col("m") <= SMALL) & (F.col("nm") == 1)), "cells")
+    # small buckets are dealt out by their rows and bytes, so that no cell holds much more than two blocks
+    fill = F.greatest(F.sum(F.col("m") / (2 * BLOCK)), F.sum(F.col("w") / (2 * BLOCK_BYTES)))
+    sizes = {r["whole"]: r for r in stats.groupBy("whole").agg(fill.alias("fill"), F.sum(F.col("nm") * F.col("nx")).alias("blocks")).collect()}
+    bins = ceil(sizes[True]["fill"]) if True in sizes else 1
+    cells = bins + (sizes[False]["blocks"] if False in sizes else 0)
+    shuffled = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     cell = lambda xb, mb, role: F.struct(xb.alias("xb"), mb.alias("mb"), F.lit(role).alias("role"))
     zero = F.lit(0)
     small = F.array(F.when(F.col("out"), cell(zero, zero, 2)).otherwise(cell(zero, zero, 1)))
     large = F.concat(F.transform(F.sequence(zero, F.col("nx") - 1), lambda i: cell(i, at("nm"), 1)), F.when(F.col("out"), F.transform(F.sequence(zero, F.col("nm") - 1), lambda i: cell(at("nx"), i, 0))).otherwise(F.array().cast("array<struct<xb:int,mb:int,role:int>>")))
-    whole = F.col("small") & (F.col("nm") == 1)
-    dealt = placed.join(stats, "key").withColumn("c", F.explode(F.when(whole, small).otherwise(large)))
+    dealt = placed.join(stats.drop("m", "w"), "key").withColumn("c", F.explode(F.when(F.col("whole"), small).otherwise(large)))
     part = F.xxhash64("key", "c.xb", "c.mb")
-    return dealt.withColumn("cell", F.when(whole, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(part)).withColumns({"part": part, "role": F.col("c.role")}).drop("c", "nm", "nx", "small")
+    dealt = dealt.withColumn("cell", F.when(F.col("whole"), F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(part)).withColumns({"part": part, "role": F.col("c.role")}).drop("c", "nm", "nx", "whole")
+    # comparing is long for the bytes it reads: a fixed number of tasks, which are not merged by size
+    return dealt.repartition(max(min(cells, shuffled), cells // TASK_CELLS), "cell")
 
 
 def _joining_links(placed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
