@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.extraction import extract_main_text
+from graphloom.llm.fill_in_middle import OP12_SQL, op12_columns
 from graphloom.llm.language import identify_language
 from graphloom.llm.line_dedup import OP2_SQL, op2_columns
 from graphloom.llm.near_dedup import near_duplicates
@@ -59,6 +60,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_columns(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,8 +71,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_sentencepiece, op4_near_dedup, op5_quality_rules, op6_quality_classifier, op7_html_extraction, op8_packing, op9_nearest_neighbours, op10_toxicity)} | {"pipeline": pipeline}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_sentencepiece, op4_near_dedup, op5_quality_rules, op6_quality_classifier, op7_html_extraction, op8_packing, op9_nearest_neighbours, op10_toxicity, op12_fill_in_middle)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op12_fill_in_middle": OP12_SQL}
