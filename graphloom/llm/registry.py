@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.conversation_trie import OP13_SQL, conversation_trie
 from graphloom.llm.extraction import extract_main_text
 from graphloom.llm.fill_in_middle import OP12_SQL, op12_columns
 from graphloom.llm.language import identify_language
@@ -64,6 +65,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_columns(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,8 +76,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_sentencepiece, op4_near_dedup, op5_quality_rules, op6_quality_classifier, op7_html_extraction, op8_packing, op9_nearest_neighbours, op10_toxicity, op12_fill_in_middle)} | {"pipeline": pipeline}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_sentencepiece, op4_near_dedup, op5_quality_rules, op6_quality_classifier, op7_html_extraction, op8_packing, op9_nearest_neighbours, op10_toxicity, op12_fill_in_middle, op13_conversation_trie)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op12_fill_in_middle": OP12_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op12_fill_in_middle": OP12_SQL, "op13_conversation_trie": OP13_SQL}
