@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm.conversation_trie import OP13_SQL, conversation_trie
 from graphloom.llm.extraction import extract_main_text
 from graphloom.llm.fill_in_middle import OP12_SQL, op12_columns
+from graphloom.llm.jaccard_join import jaccard_components
 from graphloom.llm.language import identify_language
 from graphloom.llm.line_dedup import OP2_SQL, op2_columns
 from graphloom.llm.near_dedup import near_duplicates
@@ -61,6 +62,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_columns(table(spark, sf_dir, "documents"))
 
@@ -76,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_sentencepiece, op4_near_dedup, op5_quality_rules, op6_quality_classifier, op7_html_extraction, op8_packing, op9_nearest_neighbours, op10_toxicity, op12_fill_in_middle, op13_conversation_trie)} | {"pipeline": pipeline}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_sentencepiece, op4_near_dedup, op5_quality_rules, op6_quality_classifier, op7_html_extraction, op8_packing, op9_nearest_neighbours, op10_toxicity, op11_jaccard_join, op12_fill_in_middle, op13_conversation_trie)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
