@@ -2,7 +2,9 @@
 
 A page is cut into blocks; the first pass decides each by its stop-word density, length and link density, and by the part of
 the page it stands in: outer parts hold no main text, in an article or main element less evidence is enough. The second gives
-blocks too short to decide the label of their nearest decided neighbours, of the same article or main element if it has any.
+blocks too short or too mixed to decide the label of their nearest decided neighbours, of the same article or main element if
+it has any. What a class, id or form tag says is weak evidence of an outer part: what holds the page's principal article, or
+most stop words of the element around it, is a wrapper whatever it is called.
 """
 
 from __future__ import annotations
@@ -22,47 +24,95 @@ from graphloom.llm.shared import narrow
 #: Elements that end a block, whose content is never text, and that hold no main text.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 NO_TEXT_TAGS = frozenset("script style noscript template title textarea svg math iframe object select button canvas video audio map".split())
-OUTER_TAGS = frozenset("nav aside footer form dialog menu header".split())
+OUTER_TAGS = frozenset("nav aside footer menu".split())
+WEAK_TAGS = frozenset("form dialog header".split())
 MAIN_TAGS = frozenset("article main".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OUTER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu".split())
-#: Words of a class or id that name such a part.
-OUTER_NAMES = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|cookie\w*|consent\w*|gdpr|notice|newsletter|subscri\w*|sidebar\w*|widget\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|respond|disqus\w*|share|sharing|social\w*|related\w*|recommend\w*|popup|modal|overlay|login|signup|search\w*|pagination|pager|copyright)\Z")
+#: Elements that run to the end of the page if nothing closes them; of others without an end only the tag is passed over.
+RUNNING_TAGS = frozenset("script style title textarea".split())
+OUTER_ROLES = frozenset("navigation contentinfo complementary menu".split())
+WEAK_ROLES = frozenset("banner search dialog alert alertdialog form".split())
+#: Words of a class or id that name such a part, those that name reader comments, those that tell of a state or layout.
+OUTER_NAMES = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|cookie\w*|consent\w*|gdpr|notice|newsletter|subscri\w*|sidebar\w*|widget\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|share|sharing|social\w*|related\w*|recommend\w*|popup|modal|overlay|login|signup|search\w*|pagination|pager|copyright)\Z")
+COMMENT_NAMES = re.compile(r"(?:comments?|commentlist|respond|disqus\w*)\Z")
+STATE_WORDS = frozenset("has no not with without is show hide open opened closed enabled disabled on off".split())
 #: Frequent words of four languages.
 STOP_WORDS = frozenset("a and are as at be by for from in is it not of on or that the this to was were which with you au aux avec ce dans de des du elle en est et il je la le les mais ne nous ou par pas pour que qui sur un une das dem den der die ein eine er es für ich im ist mit nicht sich sie und von zu auf al como con del el los las lo más no o para pero por se sin su una y".split())
 
 LINK_DENSITY = 0.5
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.12, 0.22
+#: A block that is linked to a greater part than this is no prose, whatever its stop words.
+ALL_LINKED = 0.9
+#: Stop words that make an outer-named part a wrapper, if they are most of those around it.
+WRAPPER_STOPS = 20
 
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
-#: The rest of a tag: a > in quotes does not end it.
-_REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+#: The rest of a tag: a > in quotes does not end it. Quotes open after = only.
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
-@dataclass
+@dataclass(slots=True)
+class Part:
+    """An element that may be outer, or is an article or main one."""
+
+    up: Part | None = None
+    outer: int = 0  # WEAK, STRONG or 0
+    main: int = 0  # number of the innermost article or main element, 0 outside
+    begins_main: bool = False
+    stops: int = 0
+    hidden: bool = False
+
+
+WEAK, STRONG = 1, 2
+
+
+@dataclass(slots=True)
 class Block:
+    part: Part
     texts: list[str] = field(default_factory=list)
     linked: int = 0
-    outer: bool = False
-    main: int = 0  # number of the innermost article or main element, 0 outside
     heading: bool = False
     text: str = ""
+    words: int = 0
+    stops: int = 0
 
+    @property
+    def outer(self) -> bool:
+        return self.part.hidden
 
-def _is_outer(tag: str, attributes: str, in_main: int) -> bool:
-    if tag in OUTER_TAGS and not (tag == "header" and in_main):
-        return True
-    if tag in MAIN_TAGS or tag in ("html", "body") or not attributes:
-        return tag in MAIN_TAGS and "comment" in attributes.lower()
+    @property
+    def main(self) -> int:
+        return self.part.main
+
+
+def _named(value: str) -> int:
+    """What the words of a class or id say."""
+    said = 0
+    for word in value.split():
+        parts = {word, *re.split(r"[-_]+", word)}
+        if not parts & STATE_WORDS:
+            said = max(said, STRONG if any(map(COMMENT_NAMES.match, parts)) else WEAK if any(map(OUTER_NAMES.match, parts)) else 0)
+    return said
+
+
+def _outer(tag: str, attributes: str, in_main: int) -> int:
+    """How surely an element is an outer part."""
+    said = STRONG if tag in OUTER_TAGS else WEAK if tag in WEAK_TAGS and not (tag == "header" and in_main) else 0
+    if tag in ("html", "body") or not attributes:
+        return said
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "role" and value in OUTER_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and any(OUTER_NAMES.match(part) for word in value.split() for part in {word, *re.split(r"[-_]+", word)}):
-            return True
-    return False
+        if name == "role":
+            said = max(said, STRONG if value in OUTER_ROLES else WEAK if value in WEAK_ROLES else 0)
+        elif name == "hidden" or name == "aria-hidden" and value == "true":
+            said = STRONG
+        elif name in ("class", "id"):
+            found = _named(value)
+            # an article may be a comment, but its class says nothing else against it
+            said = max(said, found if tag not in MAIN_TAGS or found == STRONG else 0)
+    return said
 
 
 def tags(page: str) -> Iterator[tuple[str, bool, str, str]]:
@@ -72,6 +122,7 @@ def tags(page: str) -> Iterator[tuple[str, bool, str, str]]:
     mean nothing in the rest of the page. A comment that never ends takes the rest.
     """
     held: list[str] = []
+    endless: set[str] = set()
     at, last, quotes, sections = 0, page.rfind(">"), True, True
     while (start := page.find("<", at)) >= 0:
         held.append(page[at:start])
@@ -101,8 +152,14 @@ def tags(page: str) -> Iterator[tuple[str, bool, str, str]]:
         stop = rest.end() if rest else page.find(">", name.end()) + 1
         at = stop
         if name[2].lower() in NO_TEXT_TAGS and not name[1] and not page.startswith("/", stop - 2):
-            closer = _CLOSERS[name[2].lower()].search(page, stop)
-            at = closer.end() if closer else len(page)
+            tag = name[2].lower()
+            closer = None if tag in endless else _CLOSERS[tag].search(page, stop)
+            if closer:
+                at = closer.end()
+            elif tag in RUNNING_TAGS:
+                at = len(page)
+            else:
+                endless.add(tag)
         yield "".join(held), bool(name[1]), name[2].lower(), page[name.end() : stop - 1]
         held = []
     yield "".join(held) + page[at:], True, "", ""
@@ -114,17 +171,32 @@ _CLOSERS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in NO_TEXT_TAGS}
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, those without text left out."""
     out: list[Block] = []
-    now = Block()
-    stack: list[tuple[str, bool, int]] = []  # name, in an outer part, number of the main part
+    root = Part()
+    parts = [root]
+    now = Block(root)
+    stack: list[tuple[str, Part]] = []
     open_: Counter[str] = Counter()
-    links, breaks, parts = 0, 0, 0
+    links, breaks, mains = 0, 0, 0
 
     def end(tag: str = "") -> None:
         nonlocal now
         now.text = " ".join("".join(now.texts).split())
         if now.text:
+            words = now.text.lower().split()
+            now.words, now.stops = len(words), sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words)
+            now.part.stops += now.stops
             out.append(now)
-        now = Block(outer=stack[-1][1] if stack else False, main=stack[-1][2] if stack else 0, heading=len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
+        now = Block(stack[-1][1] if stack else root, heading=len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
+
+    def part_of(tag: str, attributes: str) -> Part:
+        nonlocal mains
+        around = stack[-1][1] if stack else root
+        said, begins = _outer(tag, attributes, around.main), tag in MAIN_TAGS
+        mains += begins
+        if not said and not begins:
+            return around
+        parts.append(Part(around, said, mains if begins else around.main, begins))
+        return parts[-1]
 
     for raw, closing, tag, attributes in tags(page):
         if raw:
@@ -152,34 +224,60 @@ def blocks(page: str) -> list[Block]:
                         break
                 end()
             else:
-                outer, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                part = part_of(tag, attributes)
                 if tag not in VOID_TAGS and tag != "p" and tag != "li":
-                    parts += tag in MAIN_TAGS
-                    stack.append((tag, outer or _is_outer(tag, attributes, main), parts if tag in MAIN_TAGS else main))
+                    stack.append((tag, part))
                     open_[tag] += 1
                     end(tag)
                 else:
                     end(tag)
-                    now.outer = outer or _is_outer(tag, attributes, main)
+                    now.part = part
             links = breaks = 0
     end()
+    _hide(parts)
     return out
 
 
+def _hide(parts: list[Part]) -> None:
+    """Decide which parts are outer. Every part comes after the one around it."""
+    for p in reversed(parts[1:]):
+        if p.outer < STRONG:
+            p.up.stops += p.stops
+    # an article in a part that is called outer is the principal one only if it has most of the page's stop words
+    worst = {id(parts[0]): 0}
+    for p in parts[1:]:
+        worst[id(p)] = max(p.outer, worst[id(p.up)])
+    may_be = lambda p: p.begins_main and (worst[id(p)] == 0 or worst[id(p)] == WEAK and 2 * p.stops > parts[0].stops)
+    principal = max(filter(may_be, parts), key=lambda p: p.stops, default=None)
+    around, p = set(), principal
+    while p is not None:
+        around.add(id(p))
+        p = p.up
+    scope = {id(parts[0]): parts[0]}
+    for p in parts[1:]:
+        scope[id(p)] = p if p.begins_main else scope[id(p.up)]
+        within = scope[id(p.up)]
+        most = p.stops >= WRAPPER_STOPS and 2 * p.stops > within.stops and (principal is None or within is not parts[0])
+        wraps = id(p) in around or p.outer == WEAK and most
+        p.hidden = p.up.hidden or bool(p.outer) and not wraps
+
+
 def first_pass(all_blocks: list[Block]) -> list[int]:
     """1 main text, -1 not, 0 undecided, 2 undecided but likely."""
     labels = []
     for b in all_blocks:
         n = len(b.text)
         density = b.linked / n
-        if b.outer or density > LINK_DENSITY:
+        stops = b.stops / max(b.words, 1)
+        if b.outer or density > ALL_LINKED:
             labels.append(-1)
+        elif density > LINK_DENSITY:
+            # a sentence that is mostly one link goes with its neighbours
+            labels.append(0 if b.main and stops >= STOP_LOW else -1)
         elif n < SHORT:
             likely = 2 if b.heading or b.main else 0
             labels.append(likely if density <= 0.2 else 0 if b.main else -1)
         else:
-            words = b.text.lower().split()
-            stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
             some = stops >= STOP_LOW or n >= LONG
             labels.append(1 if stops >= STOP_HIGH or (b.main and some) else 2 if b.main or some else 0)
     return labels

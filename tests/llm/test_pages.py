@@ -62,13 +62,74 @@ def test_short_pages_keep_all_of_their_text():
     assert main_text("<nav><a href=/>Home</a></nav><p>Short note.</p><footer>(c)</footer>") == "Short note."
 
 
-@pytest.mark.parametrize("page", ["<a " * 80_000, '<a "' * 80_000 + ">", '<a ">" ' * 80_000, "<![CDATA[" * 80_000 + "<p>x</p>", "<div>" * 40_000 + "</span></p></section>" * 40_000, "<!" * 100_000, "<" * 400_000, "<p>" * 100_000])
+@pytest.mark.parametrize("page", ["<a " * 80_000, '<a "' * 80_000 + ">", '<a ">" ' * 80_000, "<![CDATA[" * 80_000 + "<p>x</p>", "<div>" * 40_000 + "</span></p></section>" * 40_000, "<!" * 100_000, "<video>" * 100_000, "<a x='" * 80_000 + ">", "<div class=ad>x " * 40_000, "<article>x " * 40_000, "<" * 400_000, "<p>" * 100_000])
 def test_long_broken_pages_take_time_in_proportion(page):
     began = time.perf_counter()
     main_text(page)
     assert time.perf_counter() - began < 10
 
 
+PARAGRAPHS = [f"{k} of the many things that are said in this article is that it was written by one of us for all of you, and that with it there is not much to be done about the weather of the day." for k in ("One", "Another")]
+ARTICLE = "<article>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "</article>"
+PLAIN = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div id='page' class='site has-sidebar'>{}</div>",
+        "<div class='content no-sidebar'>{}</div>",
+        "<form id=aspnetForm action='/x'>{}</form>",
+        "<div id=search-results-page-wrapper>{}</div>",
+        "<div class='layout sidebar-right'><div class=menu-page>{}</div></div>",
+        "<body class='modal-open nav'><div role=search>{}</div></body>",
+        "<header><nav><a href=/>The home of it all</a></nav></header>{}<footer>(c) the owners of this and of that</footer>",
+        "{}<div class=comments><p>It is the first of the comments that are on this page, and it is not of the article.</p></div>",
+        "{}<ol class=comment-list><li><article class='comment-body'><p>It is the first of the comments that are on this page, and not of the article.</p></article></ol>",
+        "{}<section class=related-posts><article><p>This is the start of one of the other posts that are to be read on this site.</p></article></section>",
+        "{}<aside><article><p>This is the start of one of the other posts that are to be read on this site.</p></article></aside>",
+        "<video src=a.mp4>{}",
+        "<iframe src=a>{}",
+        "<button>{}",
+        "<select><option>{}",
+    ],
+)
+@pytest.mark.parametrize("body", [ARTICLE, PLAIN])
+def test_wrappers_and_open_elements_keep_the_article(page, body):
+    assert main_text(page.format(body)) == "\n".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize("begin", ["<article class='hentry comments-open'>", "<article class='post has-sidebar no-comments'>", "<article id=related>", "<main class=search-page><div class=sidebar-left>", "<main><form class=login>"])
+def test_classes_of_articles(begin):
+    assert main_text(begin + PLAIN) == "\n".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize("tag", ["<video src=a.mp4>", "<iframe src=a>", "<button>", "<noscript>", "<svg>", "<map>"])
+def test_elements_without_an_end_inside_an_article(tag):
+    assert main_text(f"<article><p>{PARAGRAPHS[0]}</p>{tag}<p>{PARAGRAPHS[1]}</p></article>") == "\n".join(PARAGRAPHS)
+
+
+def test_scripts_without_an_end_take_the_rest():
+    assert main_text(f"<article><p>{PARAGRAPHS[0]}</p><script>var a = '<p>'; {PARAGRAPHS[1]}") == PARAGRAPHS[0]
+
+
+@pytest.mark.parametrize("attribute", ["data-x=o'clock", "title=5\"", "alt='a > b'", 'x="a > b" y', "data-y = 'it > \"that\"'", "it's", "=\"", "a==\"b>c\""])
+def test_quotes_open_after_an_equals_sign_only(attribute):
+    assert main_text(f"<article><p {attribute}>{PARAGRAPHS[0]}</p><p>{PARAGRAPHS[1]}</p></article>").replace('c">', "").endswith("\n".join(PARAGRAPHS))
+
+
+def test_linked_sentence_of_an_article_goes_with_its_neighbours():
+    link = "See <a href=/p>the long paper on the things that are said of this and of that in the years that were</a> for it."
+    plain = link.replace("<a href=/p>", "").replace("</a>", "")
+    assert main_text(f"<article><p>{PARAGRAPHS[0]}</p><p>{link}</p><p>{PARAGRAPHS[1]}</p></article>") == "\n".join([PARAGRAPHS[0], plain, PARAGRAPHS[1]])
+    teaser = "<a href=/q>All of the other things that are to be read on this site and on that</a>"
+    assert main_text(f"<article><p>{PARAGRAPHS[0]}</p><p>{teaser}</p><p>{PARAGRAPHS[1]}</p></article>") == "\n".join(PARAGRAPHS)
+
+
+def test_outer_parts_inside_an_article_stay_out():
+    assert main_text(f"<article><p>{PARAGRAPHS[0]}</p><div class=ad>Buy all of the things that are on sale in this shop of the town, and be with us.</div><p>{PARAGRAPHS[1]}</p><div class=share>Share it with all of the people that you are with</div></article>") == "\n".join(PARAGRAPHS)
+
+
 class Articles(HTMLParser):
     """The characters in articles, by the standard library's parser."""
 
