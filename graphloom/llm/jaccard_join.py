@@ -36,7 +36,7 @@ NEAR = 2 * PERCENT - 100
 COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: Shingles that a task gathers before it counts them.
 GATHERED = 1 << 20
-#: Bits of the parity bitmap of a set.
+#: Bits of the parity bitmap of a set at least; a larger set has as many bits as shingles, rounded up to a power of two.
 BITS = 1024
 #: Members of a region that are compared without further pivots, pivots of a larger one.
 LEAF, PIVOTS = 64, 8
@@ -59,8 +59,23 @@ def shingle_set(text: bytes | None) -> np.ndarray:
 
 def bitmap(shingles: np.ndarray) -> bytes:
     """Parities of the numbers of shingles that fall on each bit."""
-    at = (shingles >> np.uint64(40)).astype(np.int64) % BITS
-    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    bits = max(BITS, 1 << max(len(shingles) - 1, 0).bit_length())
+    at = ((shingles >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap of 64-bit words as that of the same set over fewer bits."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def apart_at_least(x: bytes, y: bytes) -> int:
+    """What the symmetric difference of two sets is at least, by their bitmaps."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
 
 
 def window_of(size: int) -> int:
@@ -153,7 +168,8 @@ def _windows(frequency):
 
 
 def _maps(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    """Bitmaps of a column, all folded to BITS bits."""
+    return np.array([folded(np.frombuffer(x, np.uint64), BITS // 64) for x in column.to_pylist()], np.uint64).reshape(-1, BITS // 64)
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -164,7 +180,8 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of (a, b, bits_a, bits_b, n_a, n_b) that sizes and bitmaps let be within 2 * THETA."""
     for batch in batches:
         if batch.num_rows:
-            ok = _may_reach(np.asarray(batch.column(4)), np.asarray(batch.column(5)), _apart(_maps(batch.column(2)), _maps(batch.column(3))), NEAR)
+            apart = np.array([apart_at_least(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
+            ok = _may_reach(np.asarray(batch.column(4)), np.asarray(batch.column(5)), apart, NEAR)
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(i))[ok]) for i in (0, 1)], ["a", "b"])
 
 
@@ -198,11 +215,14 @@ def _reachable(table: pa.Table) -> pa.Table:
     """The rows of a cell that may have a link across components, by sizes, bitmaps and distances to the pivot."""
     found = np.zeros(table.num_rows, bool)
     if table.num_rows:
+        whole = table.column("bits").to_pylist()
         maps, size, component, distance = _maps(table.column("bits")), np.asarray(table.column("n_shingles")), np.asarray(table.column("cn")), table.column("distance").to_numpy(zero_copy_only=False).astype(float)
         for _, xs, ms in _buckets_of(table):
             for x in xs:
                 m = _in_windows(x, ms[component[ms] != component[x]], distance)
                 m = m[_may_reach(size[m], size[x], _apart(maps[m], maps[x]), PERCENT)]
+                if size[x] > BITS:
+                    m = np.array([y for y in m if _may_reach(size[y], size[x], apart_at_least(whole[x], whole[y]), PERCENT)], np.int64)
                 if len(m):
                     found[x] = found[m] = True
     return pa.table({c: pa.array(np.asarray(table.column(c))[found]) for c in ("key", "node")})
@@ -255,7 +275,7 @@ class _Region:
             at = np.searchsorted(rows, xs), np.searchsorted(rows, ms)
             # a pair is met in the region of x: y lies in it or within its boundary
             regions = [(xs[nearest[at[0]] == k], ms[window[k][at[1]]]) for k in range(PIVOTS)]
-            if max(len(x) * len(m) for x, m in regions) < 0.7 * len(xs) * len(ms):
+            if sum(len(x) * len(m) for x, m in regions) < 0.7 * len(xs) * len(ms):
                 for x, m in regions:
                     self.join(x, m)
                 return
@@ -302,12 +322,14 @@ def _distances(regions: DataFrame, measured: DataFrame, classes: DataFrame) -> D
 
 
 def _late_links(placed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between nodes of one region (key, node, cn, out, distance) that are in different components."""
-    signed = placed.join(nodes, "node").withColumn("bytes", F.lit(BITS // 8))
+    """Links between nodes of one region (key, pivot, node, cn, out, distance) that are in different components."""
+    signed = placed.join(nodes, "node").withColumn("bytes", F.length("bits"))
     reached = _cells(signed, "bytes").select("cell", "part", "role", "key", "node", "cn", "n_shingles", "bits", "distance").groupBy("cell").applyInArrow(_reachable, "key bigint, node bigint")
     reached = settle(reached.distinct(), "reached")
     bodies = _needed(reached.select(F.col("node").alias("doc_id")), texts).distinct().select(F.col("doc_id").alias("node"), "body", F.length("body").alias("bytes"))
-    full = settle(placed.join(reached, ["key", "node"]).join(bodies, "node"), "full")
+    # texts go once to each pivot, not to each shingle that leads to it
+    full = placed.join(reached, ["key", "node"]).select(F.col("pivot").alias("key"), "node", "cn", "out").distinct()
+    full = settle(full.join(bodies, "node"), "full")
     return settle(_cells(full, "bytes").select("cell", "part", "role", "key", "node", "cn", "body").groupBy("cell").applyInArrow(_joined, "a bigint, b bigint").distinct(), "joining")
 
 
@@ -342,7 +364,7 @@ def jaccard_components(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFram
     placed = _with_component(_with_component(_distances(regions, measured, classes), "node", labels, "cn"), "pivot", labels, "cp").withColumn("out", F.col("cn") != F.col("cp"))
     # the window of a region: what is as far from the pivot as the nearest document outside its component, less THETA
     outer = placed.filter("out").groupBy("key").agg(F.min(F.coalesce("distance", F.lit(2 * THETA))).alias("nearest"))
-    placed = placed.join(outer, "key").filter(F.col("out") | F.col("distance").isNull() | (F.col("distance") >= F.col("nearest") - THETA - 1e-9)).select("key", "node", "cn", "out", "distance")
+    placed = placed.join(outer, "key").filter(F.col("out") | F.col("distance").isNull() | (F.col("distance") >= F.col("nearest") - THETA - 1e-9)).select("key", "pivot", "node", "cn", "out", "distance")
     placed = settle(placed, "placed")
     late = _late_links(placed, nodes, texts)
     if not late.isEmpty():
