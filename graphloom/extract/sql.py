@@ -18,11 +18,17 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import collapse, sql_identifier, without_comments
 from graphloom.functions.vocabulary import NOT_CASE_ALIASES, NOT_TABLE_ALIASES, SQL_FUNCTIONS
 from graphloom.operators.windows import first_of_each, nesting
-
-#: A literal, a name of up to eight parts, a script variable, a number, white space, a comparison, any other character.
-_TOKEN = r"(?s)'[^']*+'|(?:\[[^\]]*+\]|[#A-Za-z_][\w$#]*+)(?:\s*+\.\s*+(?:\[[^\]]*+\]|[A-Za-z_][\w$#]*+)){0,7}+|@{1,2}\w++|\d[\w.]*+|\s++|<>|[<>!]=|."
-#: Words that begin the next statement, which no alias is.
-_STATEMENTS = ("select", "insert", "update", "delete", "merge", "declare", "set", "exec", "execute", "go", "if", "begin", "end", "for", "option", "values", "truncate", "create", "drop", "alter")
+from graphloom.session import with_checkpoints
+
+#: A literal, a name of up to eight parts, a script variable, a number, white space, an operator of two characters, any other character.
+_TOKEN = r"""(?s)[Nn]?'[^']*+'|(?:\[[^\]]*+\]|"[^"]*+"|[#A-Za-z_][\w$#]*+)(?:\s*+\.\s*+(?:\[[^\]]*+\]|"[^"]*+"|[A-Za-z_][\w$#]*+)){0,7}+|@{1,2}\w++|\d[\w.]*+|\s++|<>|[-+*/%&|^<>!]=|."""
+_OPERATORS = ("=", "<", ">", "+", "-", "*", "/", "%", "<>", "<=", ">=", "!=")
+#: Words that begin a statement by themselves, and those before which they are names or parts of another one.
+_BEGINNERS = ("DECLARE", "EXEC", "EXECUTE", "GO", "TRUNCATE", "CREATE", "DROP", "ALTER", "IF", "WHILE", "PRINT", "RETURN", "RAISERROR", "THROW", "USE", "COMMIT", "ROLLBACK", "GRANT", "REVOKE", "DENY", "OPEN", "CLOSE", "DEALLOCATE", "FETCH", "WAITFOR", "BREAK", "CONTINUE")
+_NOT_AFTER = ("SELECT", ",", "(", "AND", "OR", "NOT", "BY", "ON", "WHERE", "AS", "FROM", "JOIN", "DISTINCT", "SET", "LIKE", "IN", "BETWEEN", "WHEN", "THEN", "INTO", "TABLE", "ROWS", "ROW", "FOR", *_OPERATORS)
+_CHANGES = ("INSERT", "UPDATE", "DELETE", "MERGE")
+#: Words that no alias is.
+_NO_ALIAS = (*NOT_TABLE_ALIASES, *map(str.lower, (*_BEGINNERS, *_CHANGES)), "select", "set", "begin", "end", "else", "for", "option", "values", "using", "pivot", "unpivot", "tablesample", "output", "window", "qualify", "limit", "offset", "except", "intersect", "as", "when", "then", "apply", "and", "or", "from")
 _KINDS = ("INNER", "LEFT", "RIGHT", "FULL", "CROSS")
 
 
@@ -33,9 +39,11 @@ def prepared(files: DataFrame) -> DataFrame:
 
 
 def tokens(sql: DataFrame) -> DataFrame:
-    """The tokens of each script but white space: place, line, upper case, the words before and after, and their pair of brackets.
+    """The tokens of each script but white space: place, line, upper case, the words before and after, brackets, block and statement.
 
     ``level`` and ``pair`` name the brackets: how deep they are, and the how-manieth of that depth. Both brackets stand in their pair.
+    ``block`` is the CASE or BEGIN that a token stands in, begins or ends. ``statement`` counts the statements of the script, which need
+    no semicolons; ``until`` is where a statement ends.
     """
     pieces = sql.select("file_name", F.posexplode(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))).alias("pos", "token"))
     order = W.partitionBy("file_name").orderBy("pos")
@@ -46,11 +54,39 @@ def tokens(sql: DataFrame) -> DataFrame:
     opens, closes = (F.col("token") == "(").cast("int"), (F.col("token") == ")").cast("int")
     near = {f"before{k}": F.lag("word", k).over(order) for k in (1, 2, 3)} | {f"after{k}": F.lead("token", k).over(order) for k in (1, 2)}
     words = words.withColumns(near | {"level": (F.sum(opens - closes).over(upto) + closes).cast("int"), "next_end": F.lead("end").over(order)})
-    return words.withColumn("pair", F.sum(opens).over(W.partitionBy("file_name", "level").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    words = words.withColumn("pair", F.sum(opens).over(W.partitionBy("file_name", "level").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    return _statements(_blocks(words))
+
+
+def _blocks(words: DataFrame) -> DataFrame:
+    begins = (F.col("word") == "CASE") | ((F.col("word") == "BEGIN") & ~F.coalesce(F.upper("after1"), F.lit("")).isin("TRAN", "TRANSACTION", "DISTRIBUTED", "DIALOG"))
+    ends = F.col("word") == "END"
+    run = F.sum(F.when(begins, 1).when(ends, -1).otherwise(0)).over(W.partitionBy("file_name").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    deep = words.withColumns({"begins": begins, "deep": F.when(ends, run).otherwise(run - 1)})
+    inner = W.partitionBy("file_name", "deep").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    return deep.withColumn("block", F.last(F.when(F.col("begins"), F.col("word")), ignorenulls=True).over(inner)).drop("begins", "deep")
+
+
+def _statements(words: DataFrame) -> DataFrame:
+    word, b1, a1 = F.col("word"), F.coalesce("before1", F.lit(";")), F.coalesce(F.upper("after1"), F.lit(""))
+    outside = (F.col("level") == 0) & ~((F.col("block") == "CASE") & F.coalesce(F.col("block").isNotNull(), F.lit(False)))
+    outside = F.coalesce(outside, F.col("level") == 0)
+    cte = (word == "WITH") & F.col("after2").isNotNull() & (F.upper("after2").isin("AS", "(")) & F.col("after1").rlike(r"^[\[\"A-Za-z_]") & ~a1.isin("SCHEMABINDING", "ENCRYPTION", "RECOMPILE", "EXECUTE")
+    change = word.isin(*_CHANGES) & ~b1.isin("THEN", "ON", "FOR", "AFTER", "OF", ",", "AS", "OR") & ~a1.isin("(", "JOIN")
+    other = (word.isin(*_BEGINNERS) & ~b1.isin(*_NOT_AFTER) & ~a1.isin(",", ".", *_OPERATORS)) | word.isin("BEGIN", "END", "ELSE")
+    told = F.col("level").isNotNull() & outside & (cte | change | other | word.isin("SELECT", "SET", "VALUES", ";") | word.isin(*_CHANGES))
+    order = W.partitionBy("file_name").orderBy("pos")
+    earlier = F.last(F.when(told, F.when(cte, "WITH").otherwise(word)), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    marked = words.withColumns({"told": told, "cte": cte, "earlier": F.coalesce(earlier, F.lit(";"))})
+    select = (word == "SELECT") & ~b1.isin("UNION", "EXCEPT", "INTERSECT", "AS", "FOR", "THEN") & ~((b1 == "ALL") & (F.col("before2") == "UNION")) & ~F.col("earlier").isin("INSERT", "WITH")
+    begin = F.col("told") & (F.col("cte") | other | select | (change & (F.col("earlier") != "WITH")) | ((word == "SET") & ~F.col("earlier").isin("UPDATE", "MERGE")))
+    counted = marked.withColumn("statement", F.sum(F.coalesce(begin, F.lit(False)).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    counted = counted.withColumns({"head": F.coalesce(begin, F.lit(False)), "cte": F.col("cte") & F.col("told")})
+    return counted.withColumn("until", F.max("end").over(W.partitionBy("file_name", "statement"))).drop("told", "earlier")
 
 
 def _is_name(c: str) -> Column:
-    return F.col(c).rlike(r"^[\[#A-Za-z_]")
+    return F.col(c).rlike(r"^[\[\"#A-Za-z_]") & ~F.col(c).rlike(r"^[Nn]'")
 
 
 def _alias(reserved: tuple[str, ...]) -> Column:
@@ -73,10 +109,10 @@ def _starts(*clauses: str) -> Column:
 
 
 def _until(words: DataFrame, ends: Column, legacy: bool) -> DataFrame:
-    """``words`` with stop: where the next token that ``ends`` a clause begins, or the brackets do; null at the end of the script."""
-    keys = ["file_name"] if legacy else ["file_name", "level", "pair"]
+    """``words`` with stop: where the next token that ``ends`` a clause begins, or the brackets or the statement do; with ``legacy`` null at the end of the script."""
+    keys = ["file_name"] if legacy else ["file_name", "statement", "level", "pair"]
     later = W.partitionBy(*keys).orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)
-    closed = F.lit(None) if legacy else F.max(F.when(F.col("token") == ")", F.col("start"))).over(W.partitionBy(*keys))
+    closed = F.lit(None) if legacy else F.coalesce(F.max(F.when(F.col("token") == ")", F.col("start"))).over(W.partitionBy(*keys)), F.col("until"))
     return words.withColumns({"stop": F.coalesce(F.min(F.when(ends, F.col("start"))).over(later), closed), "on_end": F.min(F.when(F.col("word") == "ON", F.col("end"))).over(later)})
 
 
@@ -87,49 +123,101 @@ def _cut(rows: DataFrame, sql: DataFrame, begin: str, stop: str, name: str) -> D
     return rows.join(text, "file_name").withColumn(name, collapse(F.substring("text", F.col(begin) + 1, length))).drop("text")
 
 
-def _rest_of_line(rows: DataFrame, sql: DataFrame, begin: str, name: str) -> DataFrame:
-    """``rows`` with what stands from a place to the end of the line or a semicolon."""
-    rest = F.regexp_substr(F.substring("text", F.col(begin) + 1, F.length("text")), F.lit(r"^[^\n;]*+"))
+def _rest_of_line(rows: DataFrame, sql: DataFrame, begin: str, stop: str, name: str) -> DataFrame:
+    """``rows`` with what stands between two places, at most to the end of the line or a semicolon."""
+    part = F.substring("text", F.col(begin) + 1, F.coalesce(F.col(stop), F.length("text")) - F.col(begin))
+    rest = F.regexp_substr(part, F.lit(r"^[^\n;]*+"))
     return rows.join(sql.select("file_name", "text"), "file_name").withColumn(name, F.coalesce(rest, F.lit(""))).drop("text")
 
 
-def variables(sql: DataFrame) -> DataFrame:
-    declared = tokens(sql).filter((F.col("before1") == "DECLARE") & F.col("token").startswith("@"))
-    told = _rest_of_line(declared, sql, "end", "rest")
+def variables(sql: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Variables of DECLARE, one or several in a list."""
+    listed = (F.col("token") == ",") & F.col("after1").startswith("@")
+    found = _until(tokens(sql) if words is None else words, listed | (F.col("token") == ";"), False)
+    head = F.first("word").over(W.partitionBy("file_name", "statement").orderBy("pos"))
+    declared = found.withColumn("of", head).filter((F.col("of") == "DECLARE") & (F.col("level") == 0) & F.col("before1").isin("DECLARE", ",") & F.col("token").startswith("@"))
+    told = _rest_of_line(declared, sql, "end", "stop", "rest")
     kind = F.regexp_extract(F.substring_index("rest", "=", 1), r"(?i)^\s*(?:AS\s)?\s*(\w+(?:\s*\([^)]*\))?)", 1)
     default = F.when(F.col("rest").contains("="), F.substring("rest", F.instr("rest", "=") + 1, F.length("rest")))
     return told.select("file_name", F.col("token").alias("name"), collapse(kind).alias("datatype"), collapse(default).alias("default_value"), "line")
 
 
-def set_statements(sql: DataFrame) -> DataFrame:
-    told = tokens(sql).filter((F.col("before1") == "SET") & F.col("token").startswith("@") & (F.col("after1") == "="))
-    return _rest_of_line(told, sql, "next_end", "rest").select("file_name", F.col("token").alias("variable"), collapse(F.col("rest")).alias("value"), "line")
+def set_statements(sql: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Values that SET gives to variables; ``SET @a += b`` gives ``@a + b``."""
+    words = tokens(sql) if words is None else words
+    told = words.filter((F.col("before1") == "SET") & F.col("token").startswith("@") & F.col("after1").rlike(r"^[-+*/%&|^]?=$"))
+    value = collapse(F.col("rest"))
+    full = F.when(F.col("after1") == "=", value).otherwise(F.concat_ws(" ", "token", F.substring("after1", 1, 1), value))
+    return _rest_of_line(told, sql, "next_end", "until", "rest").select("file_name", F.col("token").alias("variable"), full.alias("value"), "line")
+
 
+def tables(sql: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Tables that are read: after FROM or JOIN, or after a comma of their list."""
+    found = _with_clauses(tokens(sql) if words is None else words).filter(F.col("read") & _is_name("token"))
+    source = F.when(F.col("before1") == "JOIN", "JOIN").otherwise("FROM")
+    return found.select("file_name", "pos", source.alias("source"), sql_identifier(F.col("token")).alias("table"), _alias(_NO_ALIAS).alias("alias"), "line")
 
-def tables(sql: DataFrame) -> DataFrame:
-    found = tokens(sql).filter(F.col("before1").isin("FROM", "JOIN") & _is_name("token"))
-    return found.select("file_name", "pos", F.col("before1").alias("source"), sql_identifier(F.col("token")).alias("table"), _alias(NOT_TABLE_ALIASES).alias("alias"), "line")
 
+#: Words that begin a clause; those of expressions; those that list what is read.
+_CLAUSES = ("SELECT", "FROM", "JOIN", "ON", "WHERE", "GROUP", "HAVING", "ORDER", "SET", "VALUES", "INTO", "USING", "APPLY", "OPTION", "OUTPUT", *_CHANGES)
+_EXPRESSIONS = ("SELECT", "ON", "WHERE", "GROUP", "HAVING", "ORDER", "SET")
+_LISTS = ("FROM", "JOIN", "ON", "APPLY")
 
-def unique_tables(sql: DataFrame) -> DataFrame:
+
+def _with_clauses(words: DataFrame) -> DataFrame:
+    """``words`` with their query block, clause, and whether they are what a FROM or JOIN reads.
+
+    ``depth`` and ``query`` name the pair of brackets around the innermost sub-query, ``part`` the how-manieth SELECT of it or of the
+    statement (0 before the first), ``scope`` the place where that block begins, ``base`` its level.
+    """
+    b1 = F.coalesce("before1", F.lit(""))
+    pair = W.partitionBy("file_name", "level", "pair")
+    opening, closing = F.col("token") == "(", F.col("token") == ")"
+    words = words.withColumns({"asks": F.coalesce(F.max(opening & F.upper("after1").isin("SELECT", "WITH")).over(pair), F.lit(False)), "opener": F.max(F.when(opening, F.col("before1"))).over(pair)})
+    order = W.partitionBy("file_name").orderBy("pos")
+    steps = F.when(opening & F.col("asks"), 1).when(closing & F.col("asks"), -1).otherwise(0)
+    depth = F.sum(steps).over(order.rowsBetween(W.unboundedPreceding, 0)) + F.when(closing & F.col("asks"), 1).otherwise(0)
+    words = words.withColumn("depth", depth.cast("int"))
+    words = words.withColumn("query", F.sum((opening & F.col("asks")).cast("int")).over(W.partitionBy("file_name", "depth").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    query = W.partitionBy("file_name", "statement", "depth", "query")
+    running = query.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    selects = F.sum((F.col("word") == "SELECT").cast("int")).over(running)
+    words = words.withColumns({"part": F.when(F.col("depth") > 0, F.greatest(selects, F.lit(1))).otherwise(selects), "base": F.min("level").over(query)})
+    words = words.withColumn("scope", F.min("pos").over(W.partitionBy("file_name", "statement", "depth", "query", "part")))
+    own = F.col("level") == F.col("base")
+    told = F.when(F.col("head") & ~F.col("word").isin(*_CLAUSES) | F.col("cte"), F.lit("OTHER")).when(F.col("head") & (F.col("word") == "SET"), "OTHER")
+    told = told.when(own & F.col("word").isin(*_CLAUSES) & ~((F.col("word") == "FROM") & b1.isin("DISTINCT")), F.col("word"))
+    words = words.withColumn("clause", F.last(told, ignorenulls=True).over(running))
+    # a comma after the condition of a join goes on with what is read
+    again = F.when(own & (F.col("token") == ",") & F.col("clause").isin(*_LISTS), F.lit("FROM")).otherwise(told)
+    words = words.withColumn("clause", F.last(again, ignorenulls=True).over(running))
+    listed = (b1 == ",") & own & F.col("clause").isin(*_LISTS)
+    plain = b1.isin("FROM", "JOIN") & own & F.col("clause").isin("FROM", "JOIN")
+    return words.withColumn("read", F.coalesce(listed | plain, F.lit(False)))
+
+
+def unique_tables(sql: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Tables of a file in any case, as they are spelled first."""
-    named = tables(sql).withColumn("key", F.lower("table"))
+    named = tables(sql, words).withColumn("key", F.lower("table"))
     return first_of_each(named, ["file_name", "key"], "pos").select("file_name", "table", "pos")
 
 
-def joins(sql: DataFrame, legacy: bool = False) -> DataFrame:
+def joins(sql: DataFrame, legacy: bool = False, words: DataFrame | None = None) -> DataFrame:
     """Joins that have an ON, with their condition."""
     ends = F.coalesce(_starts_join(), F.lit(False)) | _starts("WHERE", "GROUP", "HAVING", "ORDER", "UNION", ";")
-    found = _until(tokens(sql), ends, legacy).filter((F.col("before1") == "JOIN") & _is_name("token"))
+    if not legacy:
+        ends = ends | (F.col("token") == ",")
+    found = _until(tokens(sql) if words is None else words, ends, legacy).filter((F.col("before1") == "JOIN") & _is_name("token"))
     found = found.filter(F.col("on_end") < F.coalesce("stop", F.lit(2**31 - 1)))
     outer = F.col("before2") == "OUTER"
     kind = F.concat_ws(" ", F.when(outer & F.col("before3").isin(*_KINDS), F.col("before3")), F.when(F.col("before2").isin(*_KINDS, "OUTER"), F.col("before2")), F.lit("JOIN"))
-    return _cut(found, sql, "on_end", "stop", "condition").select("file_name", kind.alias("join_type"), sql_identifier(F.col("token")).alias("table"), _alias(NOT_TABLE_ALIASES).alias("alias"), "condition", "line")
+    return _cut(found, sql, "on_end", "stop", "condition").select("file_name", kind.alias("join_type"), sql_identifier(F.col("token")).alias("table"), _alias(_NO_ALIAS).alias("alias"), "condition", "line")
 
 
-def cases(sql: DataFrame) -> DataFrame:
+def cases(sql: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """CASE expressions with their level and their number among those of it: each END closes the latest CASE of its level."""
-    ends = tokens(sql).filter(F.col("word").isin("CASE", "END")).withColumn("opens", F.col("word") == "CASE")
+    words = tokens(sql) if words is None else words
+    ends = words.filter(F.col("word").isin("CASE", "END") & (F.col("block") == "CASE")).withColumn("opens", F.col("word") == "CASE")
     by = W.partitionBy("file_name", "depth").orderBy("pos")
     levelled = nesting(ends, "file_name", "pos", F.col("opens")).filter("depth >= 0")
     numbered = levelled.withColumn("number", F.sum(F.col("opens").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)))
@@ -138,14 +226,15 @@ def cases(sql: DataFrame) -> DataFrame:
     return told.select("file_name", _alias(NOT_CASE_ALIASES).alias("target_column"), "expression", F.col("from_line").alias("line"), (F.col("depth") > 0).alias("nested"), F.col("depth").alias("nesting_level"), "number")
 
 
-def business_rules(sql: DataFrame, legacy: bool = False) -> DataFrame:
+def business_rules(sql: DataFrame, legacy: bool = False, words: DataFrame | None = None) -> DataFrame:
     """WHEN branches as rules. Each CASE gives its own, in which an inner one is "(CASE)".
 
     With ``legacy`` the branches of inner ones count as branches of the outermost, one after another.
     """
-    opens, closes = (F.col("word") == "CASE").cast("int"), (F.col("word") == "END").cast("int")
+    every = tokens(sql) if words is None else words
+    opens, closes = (F.col("word") == "CASE").cast("int"), ((F.col("word") == "END") & (F.col("block") == "CASE")).cast("int")
     upto = W.partitionBy("file_name").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    words = tokens(sql).select("file_name", "pos", "token", "word", "spaced", (F.sum(opens - closes).over(upto) + closes - 1).alias("depth")).filter("depth >= 0")
+    words = every.select("file_name", "pos", "token", "word", "spaced", (F.sum(opens - closes).over(upto) + closes - 1).alias("depth")).filter("depth >= 0")
     if legacy:
         words = words.withColumn("outer", (F.col("word") == "CASE") & (F.col("depth") == 0)).withColumn("depth", F.lit(0))
     else:
@@ -160,30 +249,35 @@ def business_rules(sql: DataFrame, legacy: bool = False) -> DataFrame:
     listed = pieces.groupBy("file_name", "depth", "number", "branch").agg(F.array_sort(F.collect_list("p")).alias("p"))
     text = lambda part: collapse(F.array_join(F.transform(F.filter("p", lambda x: x["part"] == part), lambda x: x["piece"]), ""))
     rules = listed.select("file_name", F.col("depth").alias("nesting_level"), "number", text("WHEN").alias("condition"), text("THEN").alias("result")).filter("condition IS NOT NULL AND result IS NOT NULL")
+    if not legacy:
+        # CASE x WHEN 1: what stands before the first WHEN is compared with each
+        first = told.filter("NOT mark AND branch = 0 AND part = 'CASE'").groupBy("file_name", F.col("depth").alias("nesting_level"), "number").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.when(F.col("spaced"), " ").otherwise(""), "token").alias("piece")))).alias("p"))
+        operand = first.select("file_name", "nesting_level", "number", collapse(F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias("operand"))
+        rules = rules.join(operand, ["file_name", "nesting_level", "number"], "left").withColumn("condition", F.concat(F.coalesce(F.concat("operand", F.lit(" = ")), F.lit("")), "condition")).drop("operand")
     rule = F.concat(F.lit("IF "), F.col("condition"), F.lit(" THEN "), F.coalesce("target_column", F.lit("CASE_RESULT")), F.lit(" = "), F.col("result"))
-    return rules.join(cases(sql), ["file_name", "nesting_level", "number"]).select("file_name", "target_column", "condition", "result", rule.alias("rule"), "line")
+    return rules.join(cases(sql, every), ["file_name", "nesting_level", "number"]).select("file_name", "target_column", "condition", "result", rule.alias("rule"), "line")
 
 
-def where_conditions(sql: DataFrame, legacy: bool = False) -> DataFrame:
-    found = _until(tokens(sql), _starts("GROUP", "HAVING", "ORDER", "UNION", ";"), legacy).filter("word = 'WHERE'")
+def where_conditions(sql: DataFrame, legacy: bool = False, words: DataFrame | None = None) -> DataFrame:
+    found = _until(tokens(sql) if words is None else words, _starts("GROUP", "HAVING", "ORDER", "UNION", ";"), legacy).filter("word = 'WHERE'")
     return _cut(found, sql, "end", "stop", "condition").select("file_name", "condition", "line")
 
 
-def group_by(sql: DataFrame, legacy: bool = False) -> DataFrame:
-    found = _until(tokens(sql), _starts("HAVING", "ORDER", "UNION", ";"), legacy).filter((F.col("word") == "GROUP") & (F.upper("after1") == "BY"))
+def group_by(sql: DataFrame, legacy: bool = False, words: DataFrame | None = None) -> DataFrame:
+    found = _until(tokens(sql) if words is None else words, _starts("HAVING", "ORDER", "UNION", ";"), legacy).filter((F.col("word") == "GROUP") & (F.upper("after1") == "BY"))
     return _cut(found, sql, "next_end", "stop", "columns").select("file_name", "columns", "line")
 
 
-def functions(sql: DataFrame) -> DataFrame:
+def functions(sql: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """The known functions that a script calls, by name."""
-    called = tokens(sql).filter(F.col("word").isin(*SQL_FUNCTIONS) & (F.col("after1") == "(")).groupBy("file_name").agg(F.array_sort(F.collect_set("word")).alias("functions"))
+    called = (tokens(sql) if words is None else words).filter(F.col("word").isin(*SQL_FUNCTIONS) & (F.col("after1") == "(")).groupBy("file_name").agg(F.array_sort(F.collect_set("word")).alias("functions"))
     return sql.select("file_name").join(called, "file_name", "left").withColumn("functions", F.coalesce("functions", F.array().cast("array<string>")))
 
 
-def column_references(sql: DataFrame) -> DataFrame:
+def column_references(sql: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Two plain names with a dot between, in any case, as they are spelled first."""
     two = F.regexp_extract_all("token", F.lit(r"(?:^|\.)\s*([A-Za-z_]\w*\s*\.\s*[A-Za-z_]\w*)"), F.lit(1))
-    found = tokens(sql).filter(_is_name("token") & F.col("token").contains(".")).select("file_name", "pos", F.posexplode(two).alias("nth", "two"))
+    found = (tokens(sql) if words is None else words).filter(_is_name("token") & F.col("token").contains(".")).select("file_name", "pos", F.posexplode(two).alias("nth", "two"))
     named = found.withColumn("reference", sql_identifier(F.col("two"))).withColumns({"alias": F.substring_index("reference", ".", 1), "column": F.substring_index("reference", ".", -1)})
     keyed = named.withColumns({"a": F.lower("alias"), "c": F.lower("column")})
     return first_of_each(keyed, ["file_name", "a", "c"], "pos", "nth").select("file_name", "alias", "column", "reference")
@@ -213,17 +307,178 @@ def structure(sql: DataFrame) -> DataFrame:
     )
     named = F.when(kind.isin("select", "derived_table"), F.lit(None)).otherwise(sql_identifier(F.col("token")))
     after_pair = sql_identifier(F.when(F.upper("closing.after1") == "AS", F.col("closing.after2")).otherwise(F.col("closing.after1")))
-    alias = F.when(kind == "derived_table", F.when(after_pair.rlike(r"^[A-Za-z_]\w*$") & ~F.lower(after_pair).isin(*NOT_TABLE_ALIASES, *_STATEMENTS), after_pair)).when(kind == "table", _alias((*NOT_TABLE_ALIASES, *_STATEMENTS)))
+    alias = F.when(kind == "derived_table", F.when(after_pair.rlike(r"^[A-Za-z_]\w*$") & ~F.lower(after_pair).isin(*_NO_ALIAS), after_pair)).when(kind == "table", _alias(_NO_ALIAS))
     rows = seen.select("file_name", "pos", kind.alias("kind"), named.alias("name"), alias.alias("alias"), "line").filter("kind IS NOT NULL")
     ctes = rows.filter("kind = 'cte'").select("file_name", F.lower("name").alias("key"), F.lit(True).alias("cte")).distinct()
     told = rows.withColumn("key", F.lower("name")).join(ctes, ["file_name", "key"], "left")
     return told.select("file_name", F.when((F.col("kind") == "table") & F.col("cte").isNotNull(), "cte_reference").otherwise(F.col("kind")).alias("kind"), "name", "alias", "line")
 
 
+#: Words of expressions that name no column, and functions whose first argument names a part of a date or a type.
+_KEYWORDS = """SELECT DISTINCT ALL TOP PERCENT TIES FROM WHERE AND OR NOT NULL IS IN EXISTS ANY SOME BETWEEN LIKE ESCAPE CASE WHEN THEN ELSE END AS ON JOIN INNER LEFT RIGHT FULL OUTER CROSS APPLY
+GROUP BY HAVING ORDER ASC DESC UNION EXCEPT INTERSECT INTO INSERT UPDATE DELETE MERGE SET VALUES DEFAULT WITH OVER PARTITION ROWS RANGE UNBOUNDED PRECEDING FOLLOWING CURRENT ROW OFFSET FETCH NEXT ONLY
+FIRST FOR XML PATH OPTION COLLATE AT TIME ZONE TRUE FALSE ROLLUP CUBE GROUPING SETS NOLOCK MATCHED OUTPUT USING IF BEGIN GO CURRENT_TIMESTAMP CURRENT_USER SESSION_USER SYSTEM_USER""".split()
+_DATE_PARTS_OF = ("DATEADD", "DATEDIFF", "DATEDIFF_BIG", "DATEPART", "DATENAME", "DATETRUNC", "CONVERT", "TRY_CONVERT")
+
+
+def _operand_before() -> Column:
+    """Whether the token before ends an operand, so that a name here can only be an alias."""
+    b1, b2 = F.coalesce("before1", F.lit("")), F.coalesce("before2", F.lit(""))
+    name = b1.rlike(r"^[\[\"#A-Z_@0-9]") & ~b1.isin(*_KEYWORDS) & ~((b2 == "TOP") & b1.rlike(r"^[0-9]"))
+    return name | b1.rlike(r"^N?'") | (b1 == "END") | ((b1 == ")") & ~F.coalesce(F.col("closed_opener") == "TOP", F.lit(False)))
+
+
+def scopes(sql: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """The query blocks of a script: (file_name, scope, parent, statement, kind, name, line, end_line, text).
+
+    Scopes are numbered as they begin. Kinds: statement (what stands before its first SELECT), select, union, cte, derived, subquery.
+    A cte or derived table has its name; the parent is the block around its brackets. Statements need no semicolons.
+    """
+    seen = _scope_rows(_with_clauses(tokens(sql) if words is None else words))
+    return _cut(seen, sql, "from", "to", "part").withColumnRenamed("part", "text").select("file_name", "scope", "parent", "statement", "kind", "name", "line", "end_line", "text")
+
+
+def _scope_rows(words: DataFrame) -> DataFrame:
+    order = W.partitionBy("file_name").orderBy("pos")
+    opening = (F.col("token") == "(") & F.col("asks")
+    pair_end = F.max(F.when(F.col("token") == ")", F.struct("pos", "after1", "after2"))).over(W.partitionBy("file_name", "level", "pair"))
+    placed = words.withColumns({"around": F.lag("scope").over(order), "pair_end": pair_end})
+    # the name of a common table expression is the last one that begins it before its brackets
+    cte_name = F.last(F.when((F.col("before1").isin("WITH", ",")) & _is_name("token") & (F.col("level") == F.col("base")) & (F.col("clause") == "OTHER"), F.col("token")), ignorenulls=True).over(W.partitionBy("file_name", "statement", "depth", "query").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    placed = placed.withColumn("cte_name", F.when(F.col("clause") == "OTHER", cte_name))
+    derived = F.col("before1").isin("FROM", "JOIN", "APPLY") | ((F.col("before1") == ",") & F.lag("clause").over(order).isin(*_LISTS))
+    kind = F.when((F.col("before1") == "AS") & F.lag("clause").over(order).isin("OTHER") & F.lag("cte_name").over(order).isNotNull(), "cte").when(derived, "derived").otherwise("subquery")
+    after = sql_identifier(F.when(F.upper("pair_end.after1") == "AS", F.col("pair_end.after2")).otherwise(F.col("pair_end.after1")))
+    named = placed.withColumn("opened", F.when(opening, F.struct("around", kind.alias("kind"), F.when(kind == "cte", sql_identifier(F.lag("cte_name").over(order))).when(kind == "derived", F.when(after.rlike(r"^[A-Za-z_]\w*$") & ~F.lower(after).isin(*_NO_ALIAS), after)).alias("name"))))
+    named = named.withColumn("opened", F.max("opened").over(W.partitionBy("file_name", "depth", "query")))
+    blocks = named.groupBy("file_name", F.col("scope").alias("at")).agg(F.min("statement").alias("statement"), F.min("depth").alias("depth"), F.min("part").alias("part"), F.min("start").alias("from"), F.max("end").alias("to"), F.min("line").alias("line"), F.max("line").alias("end_line"), F.max("opened").alias("opened"), F.min_by(F.array("before1", "before2"), F.when(F.col("word") == "SELECT", F.col("pos"))).alias("before"))
+    union = F.col("before")[0].isin("UNION", "EXCEPT", "INTERSECT") | ((F.col("before")[0] == "ALL") & (F.col("before")[1] == "UNION"))
+    what = F.when(F.col("part") == 0, "statement").when(F.coalesce(union, F.lit(False)), "union").when(F.col("depth") == 0, "select").otherwise(F.col("opened.kind"))
+    numbered = blocks.withColumn("scope", F.row_number().over(W.partitionBy("file_name").orderBy("at")))
+    parents = numbered.select("file_name", F.col("at").alias("around"), F.col("scope").alias("parent"))
+    told = numbered.withColumn("around", F.when(F.col("depth") > 0, F.col("opened.around"))).join(parents, ["file_name", "around"], "left")
+    inside = told.filter("parent IS NOT NULL").groupBy("file_name", F.col("parent").alias("scope")).agg(F.max("to").alias("inner_to"), F.max("end_line").alias("inner_line"))
+    told = told.join(inside, ["file_name", "scope"], "left")
+    return told.select("file_name", "at", "scope", "parent", "statement", "depth", what.alias("kind"), F.when(F.col("depth") > 0, F.col("opened.name")).alias("name"), "from", F.greatest("to", "inner_to").alias("to"), "line", F.greatest("end_line", "inner_line").alias("end_line"))
+
+
+def _is_target() -> Column:
+    """Whether a name is what a statement changes."""
+    b1, b2 = F.coalesce("before1", F.lit("")), F.coalesce("before2", F.lit(""))
+    into = (b1 == "INTO") & b2.isin("INSERT", "MERGE")
+    return into | (b1.isin("UPDATE", "MERGE") & ~F.col("word").isin("INTO", "TOP", "SET")) | ((b1 == "INSERT") & (F.col("word") != "INTO")) | ((b1 == "DELETE") & ~F.col("word").isin("FROM", "TOP"))
+
+
+def _sources(words: DataFrame, blocks: DataFrame) -> DataFrame:
+    """What each scope reads or changes: (file_name, at, pos, name, alias, kind), kinds table, cte, derived, target."""
+    target = _is_target() & ~F.col("read")
+    names = words.filter(_is_name("token") & (F.col("read") | (F.col("base") == F.col("level")) & (target | F.col("before1").isin("USING", "APPLY") & (F.coalesce("after1", F.lit("")) != "("))))
+    told = names.select("file_name", F.col("scope").alias("at"), "pos", "statement", sql_identifier(F.col("token")).alias("name"), _alias(_NO_ALIAS).alias("alias"), F.when(target, "target").otherwise("table").alias("kind"))
+    ctes = blocks.filter("kind = 'cte'").groupBy("file_name", "statement", F.lower("name").alias("key")).agg(F.min("at").alias("cte_at"))
+    told = told.withColumn("key", F.lower("name")).join(ctes, ["file_name", "statement", "key"], "left")
+    told = told.withColumn("kind", F.when((F.col("kind") == "table") & (F.col("cte_at") < F.col("pos")), "cte").otherwise(F.col("kind")))
+    made = blocks.filter("kind = 'derived'").select("file_name", "parent", "name", F.col("at").alias("pos"))
+    inside = made.join(blocks.select("file_name", F.col("scope").alias("parent"), "at"), ["file_name", "parent"])
+    every = told.select("file_name", "at", "pos", "name", "alias", "kind").unionByName(inside.select("file_name", "at", "pos", "name", F.col("name").alias("alias"), F.lit("derived").alias("kind")))
+    # UPDATE a ... FROM t a, DELETE t FROM t: what is changed is one of the sources that are read, not one more
+    read = every.filter("kind <> 'target'")
+    called = read.select("file_name", "at", F.explode(F.array_compact(F.array(F.lower("alias"), F.lower("name")))).alias("key"), F.lit(True).alias("again")).distinct()
+    return every.withColumn("key", F.lower("name")).join(called, ["file_name", "at", "key"], "left").filter("kind <> 'target' OR again IS NULL").drop("key", "again")
+
+
+def _mentions(words: DataFrame) -> DataFrame:
+    """Names in expressions that can only be columns: (file_name, at, pos, qualifier, column, key), qualifier null for a plain name.
+
+    ``key`` is the qualifier, or the target for columns that the statement sets or lists.
+    """
+    order = W.partitionBy("file_name").orderBy("pos")
+    a1, b1 = F.coalesce("after1", F.lit("")), F.coalesce("before1", F.lit(""))
+    own = F.col("level") == F.col("base")
+    changed = F.first(F.when(_is_name("token") & _is_target(), F.col("token")), ignorenulls=True).over(W.partitionBy("file_name", "statement"))
+    seen = words.withColumns({"closed_opener": F.lag("opener").over(order), "changed": F.lower(F.substring_index(sql_identifier(changed), ".", -1))})
+    assigned = (F.col("clause") == "SELECT") & own & b1.isin("SELECT", ",", "DISTINCT") & (a1 == "=")
+    alias = (F.col("clause") == "SELECT") & own & _operand_before() | assigned
+    argument = (b1 == "(") & F.coalesce(F.col("opener").isin(*_DATE_PARTS_OF), F.lit(False))
+    listed = F.col("clause").isin("INTO", "INSERT") & ~own
+    dotted = F.col("token").contains(".")
+    place = F.col("clause").isin(*_EXPRESSIONS) | listed | (F.col("clause") == "VALUES") & dotted
+    fits = place & _is_name("token") & ~F.col("read") & (a1 != "(") & ~b1.isin("AS", "COLLATE", ".") & ~F.col("word").isin(*_KEYWORDS)
+    bare = sql_identifier(F.col("token"))
+    named = seen.withColumn("is_alias", F.coalesce(fits & ~dotted & alias, F.lit(False)))
+    star = (a1 == ".") & (F.col("after2") == "*")
+    full = F.when(star, F.concat(bare, F.lit(".*"))).otherwise(bare)
+    some = named.filter(fits & ~F.col("is_alias") & (dotted | star | (~argument & (a1 != "."))))
+    parts = F.split(full, r"\.")
+    qualifier = F.when(F.size(parts) > 1, F.get(parts, F.size(parts) - 2))
+    sets = listed | ((F.col("clause") == "SET") & own & b1.isin("SET", ",") & (a1 == "="))
+    mentions = some.select("file_name", F.col("scope").alias("at"), "pos", "clause", qualifier.alias("qualifier"), F.element_at(parts, -1).alias("column"), F.coalesce(F.lower(qualifier), F.when(sets, F.col("changed"))).alias("key"))
+    # ORDER BY may name what the select list calls something
+    order_as = named.filter((F.col("clause") == "SELECT") & (F.col("is_alias") | (b1 == "AS") & _is_name("token"))).select("file_name", F.col("scope").alias("at"), F.lower(bare).alias("shown"), F.lit(True).alias("called")).distinct()
+    return mentions.withColumn("shown", F.lower("column")).join(order_as, ["file_name", "at", "shown"], "left").filter("qualifier IS NOT NULL OR clause <> 'ORDER' OR called IS NULL").drop("shown", "called", "clause")
+
+
+def _reaches(blocks: DataFrame) -> DataFrame:
+    """(file_name, s, above, steps): each scope with itself and all around it, squared as often as the deepest nesting asks for."""
+    deepest = blocks.agg(F.max("depth")).first()[0] or 0
+    own, around = F.struct(F.col("scope").alias("above"), F.lit(0).alias("steps")), F.struct(F.col("parent").alias("above"), F.lit(1).alias("steps"))
+    reach = blocks.select("file_name", F.col("scope").alias("s"), F.explode(F.array(own, around)).alias("x")).select("file_name", "s", "x.above", "x.steps").filter("above IS NOT NULL")
+    known = 1
+    while known < deepest:
+        further = reach.select("file_name", F.col("s").alias("above"), F.col("above").alias("top"), F.col("steps").alias("more"))
+        reach = reach.join(further, ["file_name", "above"]).select("file_name", "s", F.col("top").alias("above"), (F.col("steps") + F.col("more")).alias("steps")).distinct().checkpoint()
+        known *= 2
+    return reach
+
+
+def column_owners(sql: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Whose column each name in an expression is: (file_name, scope, qualifier, column, owner, owner_kind, status, candidates, pos).
+
+    A qualified column belongs to the nearest scope, from its own outwards, that has a source of that name or alias; what a statement
+    sets or lists belongs to its target. Any other plain one belongs to the only source of the nearest scope that has any; if that has
+    several it is ambiguous, without one unknown. ``candidates`` are the places of the sources that it may belong to.
+    """
+    return resolved(sql, words)[1]
+
+
+def resolved(sql: DataFrame, words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sources (file_name, scope, pos, name, alias, kind) of all query blocks, and the owners of columns."""
+    with_checkpoints(sql.sparkSession)
+    words = _with_clauses(tokens(sql) if words is None else words).checkpoint()
+    blocks = _scope_rows(words).checkpoint()
+    numbers = blocks.select("file_name", "at", "scope")
+    held = _sources(words, blocks).join(numbers, ["file_name", "at"]).drop("at")
+    by_scope = held.withColumnRenamed("scope", "above")
+    mentions = _mentions(words).join(numbers, ["file_name", "at"]).withColumnRenamed("scope", "s").drop("at")
+    seen = mentions.join(_reaches(blocks), ["file_name", "s"])
+    place = F.col("pos").alias("owner_at")
+
+    last = F.lower(F.substring_index("name", ".", -1))
+    called = by_scope.select("file_name", "above", F.explode(F.array_distinct(F.array_compact(F.array(F.lower("alias"), last)))).alias("key"), F.lower("alias").alias("as"), "name", "kind", place)
+    by_name = seen.filter("key IS NOT NULL").join(called, ["file_name", "above", "key"], "left")
+    # the nearest scope; in it an alias goes before the name of a table that has another alias
+    nearest = W.partitionBy("file_name", "pos").orderBy(F.col("owner_at").isNull(), "steps", F.coalesce(F.col("as") != F.col("key"), F.lit(True)), "owner_at")
+    by_name = by_name.withColumn("n", F.row_number().over(nearest)).filter("n = 1").withColumn("sources", F.when(F.col("owner_at").isNotNull(), F.array("owner_at")).otherwise(F.array().cast("array<int>")))
+
+    all_of = by_scope.groupBy("file_name", "above").agg(F.array_sort(F.collect_list(place)).alias("sources"), F.first("name").alias("name"), F.first("kind").alias("kind"))
+    plain = seen.filter("key IS NULL").join(all_of, ["file_name", "above"], "left")
+    nearest = W.partitionBy("file_name", "pos").orderBy(F.col("sources").isNull(), "steps")
+    plain = plain.withColumn("n", F.row_number().over(nearest)).filter("n = 1").withColumn("sources", F.coalesce("sources", F.array().cast("array<int>")))
+
+    one = F.size("sources") == 1
+    status = F.when(one, "owned").when(F.size("sources") > 1, "ambiguous").otherwise("unknown")
+    told = lambda rows: rows.select("file_name", F.col("s").alias("scope"), "qualifier", "column", F.when(one, F.col("name")).alias("owner"), F.when(one, F.col("kind")).alias("owner_kind"), status.alias("status"), F.col("sources").alias("candidates"), "pos")
+    return held, told(by_name).unionByName(told(plain))
+
+
 def summary(sql: DataFrame) -> DataFrame:
-    """Numbers of facts per file, and whether they need a review: facts are missing for words that stand in it, or it has no tables."""
+    """Numbers of facts per file, and whether they need a review: facts are missing for words that stand in it, or it has no tables.
+
+    The scripts are cut into tokens once, for all kinds of facts.
+    """
     kinds = {"variables": variables, "set_statements": set_statements, "tables": tables, "unique_tables": unique_tables, "joins": joins, "cases": cases, "business_rules": business_rules, "where_conditions": where_conditions, "group_by": group_by, "column_references": column_references}
-    counts = [extract(sql).groupBy("file_name").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind)) for kind, extract in kinds.items()]
+    with_checkpoints(sql.sparkSession)
+    words = tokens(sql).checkpoint()
+    counts = [extract(sql, words=words).groupBy("file_name").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind)) for kind, extract in kinds.items()]
     wide = reduce(DataFrame.unionByName, counts).groupBy("file_name").pivot("kind", list(kinds)).agg(F.sum("n"))
     raw = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0)))
     expected = sql.select("file_name", raw(r"(?i)\bJOIN\b").alias("raw_joins"), raw(r"(?i)\bCASE\b").alias("raw_cases"), raw(r"(?i)\bDECLARE\s+@").alias("raw_variables"))

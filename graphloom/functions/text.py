@@ -19,8 +19,8 @@ def collapse(c: Column) -> Column:
 
 
 def sql_identifier(c: Column) -> Column:
-    """Without brackets and without spaces around dots."""
-    return strip(F.regexp_replace(F.regexp_replace(c, r"\s*\.\s*", "."), r"[\[\]]", ""))
+    """Without brackets or double quotes and without spaces around dots."""
+    return strip(F.regexp_replace(F.regexp_replace(c, r"\s*\.\s*", "."), r"[\[\]\"]", ""))
 
 
 def plain_identifier(c: Column) -> Column:
@@ -74,11 +74,10 @@ def line_number(text: Column, position: Column) -> Column:
 
 
 def without_comments(c: Column) -> Column:
-    """SQL without comments; a block comment leaves its line breaks, so line numbers stay true."""
-    blocks = F.regexp_extract_all(c, F.lit(r"(?s)/\*.*?\*/"), F.lit(0))
-    parts = F.split(c, r"(?s)/\*.*?\*/", -1)
-    filled = F.zip_with(parts, blocks, lambda a, b: F.concat(a, F.coalesce(F.concat(F.lit(" "), F.regexp_replace(b, r"[^\n]", "")), F.lit(""))))
-    return F.regexp_replace(F.array_join(filled, ""), r"--[^\n]*", "")
+    """SQL without comments; a block comment leaves its line breaks, so line numbers stay true. Literals and quoted names are left alone."""
+    pieces = F.regexp_extract_all(c, F.lit(r"""(?s)'[^']*+'|"[^"]*+"|\[[^\]]*+\]|--[^\n]*+|/\*.*?\*/|[^'"\[/-]++|."""), F.lit(0))
+    plain = F.transform(pieces, lambda x: F.when(x.startswith("--"), "").when(x.startswith("/*") & x.endswith("*/") & (F.length(x) > 3), F.concat(F.lit(" "), F.regexp_replace(x, r"[^\n]", ""))).otherwise(x))
+    return F.array_join(plain, "")
 
 
 def terms(question: Column) -> Column:

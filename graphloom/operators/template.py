@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import collapse, suffix_of
 from graphloom.functions.vocabulary import CONCEPTS
 from graphloom.operators.windows import carried_forward
+from graphloom.session import with_checkpoints
 
 UNKNOWN = "UNKNOWN / Not specified"
 DEFAULT = ("Schema", "Database", "Table", "Columns")
@@ -67,22 +68,26 @@ def parse(template: str | list[str] | None) -> Template:
 
 
 def table_rows(sql: DataFrame) -> DataFrame:
-    """One row per table of a script (file_name, text): parts of its name, alias, its columns, its joins.
+    """One row per table that a script (file_name, text) reads or changes: parts of its name, alias, its columns, its joins.
 
-    A qualified column belongs to the table of that name or alias; an unqualified one is not told. Without a part of the name it is null.
+    Columns go to the table that owns them in their query block. A plain column of a block with several tables is ambiguous and
+    named so with each of them. Without a part of the name it is null.
     """
     from graphloom.extract import sql as S
 
-    found = S.tables(sql).select("file_name", "pos", "table", "alias")
-    parts = F.split("table", r"\.")
+    with_checkpoints(sql.sparkSession)
+    words = S.tokens(sql).checkpoint()
+    sources, owners = S.resolved(sql, words)
+    parts = F.split("name", r"\.")
     n = F.size(parts)
-    named = found.select("file_name", F.element_at(parts, -1).alias("table_name"), F.when(n > 1, F.get(parts, n - 2)).alias("schema_name"), F.when(n > 2, F.get(parts, n - 3)).alias("database_name"), "alias", "table", "pos")
-    owners = named.select("file_name", "pos", F.explode(F.array_distinct(F.filter(F.array(F.lower("table_name"), F.lower("alias")), lambda x: x.isNotNull()))).alias("owner"))
-    used = S.column_references(sql).select("file_name", F.lower("alias").alias("owner"), "column")
-    columns = owners.join(used, ["file_name", "owner"]).groupBy("file_name", "pos").agg(F.array_sort(F.collect_set("column")).alias("column_list"))
-    joined = S.joins(sql).groupBy("file_name", F.lower("table").alias("key")).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ON ", "join_type", "condition"))), "; ").alias("joins"))
-    full = named.withColumn("key", F.lower("table")).join(columns, ["file_name", "pos"], "left").join(joined, ["file_name", "key"], "left")
-    return full.drop("key", "table").withColumn("column_list", F.coalesce("column_list", F.array().cast("array<string>")))
+    named = sources.filter("kind <> 'derived'").select("file_name", F.element_at(parts, -1).alias("table_name"), F.when(n > 1, F.get(parts, n - 2)).alias("schema_name"), F.when(n > 2, F.get(parts, n - 3)).alias("database_name"), "alias", F.lower("name").alias("key"), "pos")
+    of_each = owners.filter("column <> '*'").select("file_name", F.explode("candidates").alias("pos"), "column", "status")
+    listed = lambda status: F.array_sort(F.collect_set(F.when(F.col("status") == status, F.col("column"))))
+    columns = of_each.groupBy("file_name", "pos").agg(listed("owned").alias("column_list"), listed("ambiguous").alias("ambiguous"))
+    joined = S.joins(sql, words=words).groupBy("file_name", F.lower("table").alias("key")).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ON ", "join_type", "condition"))), "; ").alias("joins"))
+    full = named.join(columns, ["file_name", "pos"], "left").join(joined, ["file_name", "key"], "left")
+    none = F.array().cast("array<string>")
+    return full.drop("key").withColumns({c: F.coalesce(c, none) for c in ("column_list", "ambiguous")})
 
 
 def program_rows(programs: DataFrame) -> DataFrame:
@@ -125,7 +130,7 @@ def rows_of(files: DataFrame) -> DataFrame:
     kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in {".cbl": "program", ".cob": "program", ".cpy": "program", ".dtsx": "package", ".xml": "package"}.items() for x in pair]), suffix_of(F.col("file_name"))), F.lit("script"))
     told = files.withColumn("__kind", kind)
     some = lambda k: told.filter(F.col("__kind") == k).select("file_name", "text")
-    scripts = table_rows(S.prepared(some("script"))).drop("pos").withColumn("transformation", F.lit(None).cast("string"))
+    scripts = table_rows(S.prepared(some("script"))).drop("pos", "ambiguous").withColumn("transformation", F.lit(None).cast("string"))
     return program_rows(some("program")).unionByName(package_rows(some("package"))).unionByName(scripts)
 
 
