@@ -5,7 +5,7 @@ rarest. Documents as first pivots would leave nearly every text at distance 1 fr
 set within THETA of x has lost at most the share THETA of x's shingles, so its window over the regions is its first
 floor(THETA * |x|) + 1 shingles, rarest first: two linked sets meet in a region of both windows.
 
-In a region documents are the pivots. The smallest one measures its distance to all others, exactly wherever sizes and parity
+In a region documents are the pivots; members without another of a size that a link allows leave it first. The smallest one measures its distance to all others, exactly wherever sizes and parity
 bitmaps (whose Hamming distance never exceeds the symmetric difference) leave up to 2 * THETA; those within THETA are linked.
 Only documents outside the pivot's component stay, with those that the triangle inequality lets them reach: another document
 y may be linked with x only if |d(x, p) - d(y, p)| <= THETA. They are dealt to cells, where regions around further pivots, each
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
@@ -145,7 +146,7 @@ def frequencies(rows: DataFrame) -> np.ndarray:
 
 
 def _windows(frequency):
-    """(node, body) to rows of its window, (key, node); one more row, without key, has size and bitmap."""
+    """(node, body) to rows of its window, (key, node, n_shingles); one more row, without key, has the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.frombuffer(frequency.value, "<i8")
@@ -160,8 +161,9 @@ def _windows(frequency):
             if not keys:
                 continue
             node = np.asarray(batch.column(0))
-            at = np.repeat(node, [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(at), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())], ["key", "node", "n_shingles", "bits"])
+            held = [len(k) for k in keys]
+            at = np.repeat(node, held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(at), pa.array(np.repeat(np.array(size, np.int64), held)), pa.nulls(len(at), pa.binary())], ["key", "node", "n_shingles", "bits"])
             yield pa.RecordBatch.from_arrays([pa.nulls(len(node), pa.int64()), pa.array(node), pa.array(size, pa.int64()), pa.array(maps, pa.binary())], ["key", "node", "n_shingles", "bits"])
 
     return run
@@ -301,9 +303,13 @@ def _regions(classes: DataFrame, texts: DataFrame, frequency: np.ndarray) -> tup
     shipped = classes.sparkSession.sparkContext.broadcast(frequency.astype("<i8").tobytes())
     bodies = _needed(classes.select(F.col("node").alias("doc_id")), texts)
     windows = settle(bodies.mapInArrow(_windows(shipped), "key bigint, node bigint, n_shingles bigint, bits binary"), "windows")
-    keys = windows.filter("key IS NOT NULL").select("key", "node")
-    shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").drop("last")
-    regions = settle(keys.join(shared, "key").distinct(), "regions")
+    # one shuffle by key: a member stays if the size next to its own, up or down, is that of a set it may be linked with
+    keys = windows.filter("key IS NOT NULL").select("key", "node", "n_shingles").repartition("key")
+    by_size, size = W.partitionBy("key").orderBy("n_shingles"), F.col("n_shingles")
+    fits = F.coalesce(F.lag(size).over(by_size) * 100 >= size * PERCENT, F.lit(False)) | F.coalesce(F.lead(size).over(by_size) * PERCENT <= size * 100, F.lit(False))
+    within = W.partitionBy("key")
+    shared = keys.withColumn("fits", fits).filter("fits").withColumns({"pivot": F.min("node").over(within), "last": F.max("node").over(within)})
+    regions = settle(shared.filter("pivot < last").select("key", "node", "pivot").distinct(), "regions")
     nodes = settle(windows.filter("key IS NULL").drop("key").distinct(), "nodes")
     drop_settled(windows)
     return regions, nodes
