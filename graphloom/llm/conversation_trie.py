@@ -34,7 +34,7 @@ BATCH_ROWS = 1 << 13
 #: Bytes of comma-joined ids that are written as one part.
 PART_BYTES = 1 << 16
 #: A parent with more children than this, or than one in ``MOST_HOT`` of all nodes, is broadcast to them: ``MOST_HOT`` at most.
-HOT_CHILDREN, MOST_HOT = 1000, 100_000
+HOT_CHILDREN, MOST_HOT = 100, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
