@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import parsed_id
+from graphloom.session import with_checkpoints
 
 
 def upsert_nodes(observations: DataFrame, key: str, order: str, properties: list[str]) -> DataFrame:
@@ -86,3 +87,49 @@ def of_type(nodes: DataFrame, edges: DataFrame, kinds: list[str]) -> tuple[DataF
     any_found = some.agg((F.count(F.lit(1)) > 0).alias("found"))
     kept = nodes.crossJoin(F.broadcast(any_found)).filter(~F.col("found") | F.lower("label").isin(*[k.lower() for k in kinds])).drop("found")  # one row
     return kept, within(edges, kept)
+
+
+#: Edges at a node beyond which it is a hub, whose edges are dealt out to several tasks; rows of a frontier that are broadcast at most.
+HUB, MAX_FRONTIER = 10_000, 100_000
+
+
+def reached(edges: DataFrame, starts: DataFrame, hops: int, types: tuple[str, ...] = ()) -> DataFrame:
+    """(start, id, hops): all within so many edges of each start (id), either way, with the fewest edges; the start itself is none of them.
+
+    Hop by hop from the frontier alone: what has been reached is not left again, so the work grows with the edges that are touched,
+    not with the paths. Each hop is checkpointed. The edges of hubs are dealt out to slots, and a frontier at a hub goes to all of them.
+    """
+    spark = edges.sparkSession
+    with_checkpoints(spark)
+    some = edges.filter(F.col("type").isin(*types)) if types else edges
+    links = symmetric(some).select("at", "to").distinct()
+    hubs = links.groupBy("at").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HUB).select("at", F.ceil(F.col("n") / HUB).cast("int").alias("slots")).checkpoint()
+    any_hub = not hubs.isEmpty()
+    if any_hub:
+        links = links.join(F.broadcast(hubs), "at", "left").withColumn("slot", F.when(F.col("slots").isNotNull(), F.pmod(F.xxhash64("to"), F.col("slots")).cast("int")).otherwise(0)).drop("slots")
+    else:
+        links = links.withColumn("slot", F.lit(0))
+    frontier = starts.select(F.col("id").alias("start"), "id").distinct().checkpoint()
+    seen, found = frontier, []
+    for hop in range(1, hops + 1):
+        asked = frontier
+        if any_hub:
+            asked = asked.join(F.broadcast(hubs.withColumnRenamed("at", "id")), "id", "left").withColumn("slot", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1))).drop("slots")
+        else:
+            asked = asked.withColumn("slot", F.lit(0))
+        asked = asked.withColumnRenamed("id", "at")
+        few = frontier.count() <= MAX_FRONTIER
+        step = links.join(F.broadcast(asked) if few else asked, ["at", "slot"]).select("start", F.col("to").alias("id")).distinct()
+        frontier = step.join(seen, ["start", "id"], "left_anti").checkpoint()
+        if frontier.isEmpty():
+            break
+        found.append(frontier.withColumn("hops", F.lit(hop)))
+        seen = seen.unionByName(frontier)
+    none = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops")).limit(0)
+    return reduce(DataFrame.unionByName, found, none)
+
+
+def searched_then_reached(nodes: DataFrame, edges: DataFrame, hits: DataFrame, hops: int = 2) -> DataFrame:
+    """The neighbourhood of the first hit (id, in the order of ``at``), with its nodes' labels: (id, label, name, hops)."""
+    first = hits.orderBy("at", "id").limit(1).select("id")
+    return reached(edges, first, hops).join(nodes.select("id", "label", "name"), "id", "left").select("id", "label", "name", "hops")
