@@ -122,3 +122,70 @@ def section_views(lines: DataFrame) -> DataFrame:
     relation = F.col("word").isin("FD", "SELECT", "COPY", "PERFORM", "READ", "WRITE", "REWRITE", "OPEN", "CLOSE", "CALL", "MOVE", "COMPUTE", "ADD", "DISPLAY", "IF")
     view = lambda name, rows: rows.groupBy("file_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "raw"))), lambda x: x["raw"]), "\n").alias("text")).withColumn("view", F.lit(name))
     return view("structural", lines.filter("division <> 'PROCEDURE'")).unionByName(view("behavioral", lines.filter("division = 'PROCEDURE'"))).unionByName(view("relationship", lines.filter(relation)))
+
+
+#: A literal, a number with a point, a word, any other character.
+_TOKEN = r"\"[^\"]*+\"?|'[^']*+'?|\d+\.\d+|[A-Za-z0-9][A-Za-z0-9-]*+|[^\sA-Za-z0-9]"
+_HEADER = r"^ {0,7}[A-Za-z0-9][A-Za-z0-9-]*(?:\s+SECTION)?\s*\.$"
+
+
+def statements(lines: DataFrame) -> DataFrame:
+    """All statements of the PROCEDURE division, wherever in a line they begin: (file_name, paragraph, op, text, start, end).
+
+    A statement ends at the next verb, at a full stop or at an END word; words in literals begin none. The paragraph is the last
+    one that begins before it.
+    """
+    code = F.substring("code", 8, 65)
+    header = F.coalesce((F.col("division") == "PROCEDURE") & F.col("code").rlike(f"(?i){_HEADER}"), F.lit(False))
+    named = carried_forward(lines.withColumn("header", header), "file_name", "line", F.when(header, F.upper(F.regexp_extract("code", r"^\s*([A-Za-z0-9-]+)", 1))), "paragraph")
+    rows = named.filter(F.col("division") == "PROCEDURE").filter(~F.col("opens_division") & ~F.col("header"))
+    told = rows.select("file_name", "paragraph", "line", F.posexplode(F.regexp_extract_all(code, F.lit(_TOKEN), F.lit(0))).alias("at", "token")).withColumn("word", F.upper("token"))
+    begins = F.col("word").isin(*STATEMENTS) & ~F.col("word").startswith("END-")
+    ends = (F.col("token") == ".") | F.col("word").startswith("END-")
+    upto = W.partitionBy("file_name").orderBy("line", "at").rowsBetween(W.unboundedPreceding, 0)
+    numbered = told.withColumn("number", F.sum((begins | ends).cast("int")).over(upto)).filter(~ends)
+    texts = numbered.groupBy("file_name", "number").agg(F.array_sort(F.collect_list(F.struct("line", "at", "token", "paragraph"))).alias("t"))
+    first = F.upper(F.col("t")[0]["token"])
+    return texts.filter(first.isin(*STATEMENTS)).select("file_name", F.col("t")[0]["paragraph"].alias("paragraph"), F.lower(first).alias("op"), F.array_join(F.col("t.token"), " ").alias("text"), F.col("t")[0]["line"].alias("start"), F.element_at("t", -1)["line"].alias("end"))
+
+
+def file_records(lines: DataFrame) -> DataFrame:
+    """The records of each file: items of level 01 after its FD or SD, up to the next one or the end of the FILE SECTION."""
+    described = F.nullif(F.upper(F.regexp_extract("code", r"(?i)^\s*[FS]D\s+([A-Za-z0-9-]+)", 1)), F.lit(""))
+    leaves = F.col("code").rlike(r"(?i)^\s*[A-Za-z-]+\s+SECTION\b") | F.col("opens_division")
+    asked = carried_forward(lines, "file_name", "line", F.when(leaves, "").otherwise(described), "file")
+    record = F.upper(F.regexp_extract("code", r"^\s*01\s+([A-Za-z0-9-]+)", 1))
+    return asked.withColumn("record", record).filter("division = 'DATA' AND file <> '' AND record <> ''").select("file_name", "file", "record", "line")
+
+
+def links(lines: DataFrame) -> DataFrame:
+    """What a program's statements tie together: (file_name, source, type, target), each once.
+
+    WRITE and REWRITE name a record: with the file that it belongs to - or that is called so itself - the program WRITES the file, and
+    the file WRITES_RECORD the record; without one the program WRITES what is named. READS names files, CALLS programs or the items
+    that hold their names. A paragraph PERFORMS another, with THRU all from the first to the last; it GOES_TO another.
+    """
+    said = statements(lines).withColumn("t", F.upper("text"))
+    program = F.col("file_name")
+    name = lambda p: F.regexp_extract("t", p, 1)
+    row = lambda rows, source, kind, target: rows.select("file_name", source.alias("source"), F.lit(kind).alias("type"), target.alias("target"))
+
+    written = said.filter(F.col("op").isin("write", "rewrite")).select("file_name", name(r"^(?:RE)?WRITE ([A-Z0-9-]+)").alias("record")).distinct()
+    owners = file_records(lines).select("file_name", "file", "record").unionByName(files(lines).select("file_name", "file", F.col("file").alias("record"))).dropDuplicates(["file_name", "record"])
+    tied = written.join(owners, ["file_name", "record"], "left")
+    found = tied.filter(F.col("file").isNotNull())
+    writes = row(tied, program, "WRITES", F.coalesce("file", "record"))
+    reads = row(said.filter("op = 'read'"), program, "READS", name(r"^READ ([A-Z0-9-]+)"))
+    calls = row(said.filter("op = 'call'"), program, "CALLS", F.regexp_replace(name(r"""^CALL ("[^"]*"|'[^']*'|[A-Z0-9-]+)"""), "[\"']", ""))
+
+    source = F.coalesce("paragraph", "file_name")
+    performs = said.filter("op = 'perform'").select("file_name", source.alias("source"), name(r"^PERFORM ([A-Z0-9-]+)").alias("first"), F.nullif(name(r"^PERFORM [A-Z0-9-]+ (?:THRU|THROUGH) ([A-Z0-9-]+)"), F.lit("")).alias("last"), F.col("t").rlike("^PERFORM [A-Z0-9-]+ TIMES").alias("times"))
+    performs = performs.filter(~F.col("first").isin("UNTIL", "VARYING", "WITH", "TEST", "") & ~F.col("times"))
+    alone = performs.filter("last IS NULL").select("file_name", "source", F.lit("PERFORMS").alias("type"), F.col("first").alias("target"))
+    placed = paragraphs(lines).select("file_name", "paragraph", F.row_number().over(W.partitionBy("file_name").orderBy("start")).alias("n"))
+    at = lambda c, n: placed.select("file_name", F.col("paragraph").alias(c), F.col("n").alias(n))
+    ranged = performs.filter("last IS NOT NULL").join(at("first", "a"), ["file_name", "first"], "left").join(at("last", "b"), ["file_name", "last"], "left")
+    between = ranged.filter("a <= b").select("file_name", "source", F.explode(F.sequence("a", "b")).alias("n")).join(placed, ["file_name", "n"]).select("file_name", "source", F.lit("PERFORMS").alias("type"), F.col("paragraph").alias("target"))
+    ends = ranged.filter("a IS NULL OR b IS NULL OR a > b").select("file_name", "source", F.lit("PERFORMS").alias("type"), F.explode(F.array("first", "last")).alias("target"))
+    goes = row(said.filter("op = 'go'"), source, "GOES_TO", name(r"^GO (?:TO )?([A-Z0-9-]+)"))
+    return reduce(DataFrame.unionByName, [writes, row(found, F.col("file"), "WRITES_RECORD", F.col("record")), reads, calls, alone, between, ends, goes]).filter("target <> ''").distinct()
