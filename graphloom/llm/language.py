@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,13 @@ SMOOTH = 4.0
 #: Weight of an even table in the reliability of declarations.
 DECLARED_SMOOTH = 2.0
 
+#: Numbers that are handed to all tasks at most; larger tables are joined.
+MAX_BROADCAST_NUMBERS = 1_000_000
+#: Pages of one address part beyond which its counts are broadcast to them, so that no task has all of them.
+HOT_PAGES = 10_000
+#: Labels that registries of countries put before their own, so that a domain below them has three labels.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "ne", "net", "or", "org")
+
 _DECLARED = re.compile(r"""<html\b[^>]*?\b(?:xml:)?lang\s*=\s*["']?([a-zA-Z]{2,3})\b|<meta\b[^>]*?content-language["']?[^>]*?content\s*=\s*["']?([a-zA-Z]{2,3})\b""", re.I)
 
 
@@ -94,6 +103,26 @@ def _evidence(models):
     return run
 
 
+def _sum(column: str) -> Column:
+    """Element-wise sum of arrays of one length, whatever that is: one aggregate, combined before the shuffle."""
+    return vector_to_array(Summarizer.sum(array_to_vector(F.col(column))))
+
+
+def _with_counts(pages: DataFrame, sums: DataFrame, level: str, rows: int, n: int) -> DataFrame:
+    """``pages`` with counts and n of their part of the address. Counts of parts with very many pages are broadcast, at most
+    ``MAX_BROADCAST_NUMBERS`` numbers of them; their pages take a key of their own in the join of the rest.
+    """
+    most = max(1, MAX_BROADCAST_NUMBERS // n)
+    least = max(HOT_PAGES, rows // most)
+    hot = sums.filter(F.col("n") > least).select(level, F.col("counts").alias("hot_counts"), F.col("n").alias("hot_n"))
+    rest = sums.filter(F.col("n") <= least).withColumnRenamed(level, "part")
+    told = pages.join(F.broadcast(hot), level, "left")
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)).cast("string"))
+    told = told.withColumn("part", F.when(F.col("hot_n").isNull() & (F.col(level) != ""), F.col(level)).otherwise(spread))
+    told = told.join(rest, "part", "left")
+    return told.withColumns({"counts": F.coalesce("hot_counts", "counts"), "n": F.coalesce("hot_n", "n")}).drop("part", "hot_counts", "hot_n")
+
+
 def _normalised(logs: Column) -> Column:
     powers = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
@@ -115,34 +144,32 @@ def identify_language(pages: DataFrame, labelled: DataFrame) -> DataFrame:
         return seen.select("page_id", "url", "declared", F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"))
     names, n = F.array(*[F.lit(x) for x in langs]), len(langs)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
-    seen = seen.withColumn("host", host).withColumns({"domain": F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), "suffix": F.regexp_extract("host", r"([^.]+)$", 1)})
+    seen = seen.withColumn("host", host).withColumns({"domain": F.regexp_extract("host", rf"((?:[^.]+\.(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}|[^.]+\.[^.]+))$", 1), "suffix": F.regexp_extract("host", r"([^.]+)$", 1)})
     seen = seen.withColumn("text_posterior", _normalised(F.col("likelihood")))
     named = lambda p: F.get(names, F.array_position(p, F.array_max(p)).cast("int") - 1)
     seen = settle(seen.withColumn("text_lang", named(F.col("text_posterior"))), "evidence")
-    post = [F.get("text_posterior", i) for i in range(n)]
+    every = seen.groupBy(F.lit(1)).agg(_sum("text_posterior").alias("counts"), F.count(F.lit(1)).alias("n")).first()
+    rows, all_counts = (every["n"], every["counts"]) if every else (0, [0.0] * n)
 
     # how often a language is declared where the text speaks another
-    told = F.when(F.col("declared").isin(langs), F.col("declared")).otherwise("other")
-    pairs = seen.filter("declared IS NOT NULL").groupBy(told.alias("told")).agg(*[F.sum(p).alias(f"c{i}") for i, p in enumerate(post)])
-    table_rows = {r["told"]: [r[f"c{i}"] for i in range(n)] for r in pairs.collect()}  # a row a language
-    seen_as = np.array([table_rows.get(t, [0.0] * n) for t in [*langs, "other"]])
-    reliability = np.log((seen_as + DECLARED_SMOOTH / (n + 1)) / (seen_as.sum(axis=0) + DECLARED_SMOOTH))
-    by_declared = F.when(F.col("declared").isNull(), F.array(*[F.lit(0.0)] * n))
-    for t, row in zip(langs, reliability, strict=False):
-        by_declared = by_declared.when(F.col("declared") == t, F.array(*[F.lit(float(v)) for v in row]))
-    by_declared = by_declared.otherwise(F.array(*[F.lit(float(v)) for v in reliability[-1]]))
-
-    every = seen.agg(*[F.sum(p).alias(f"c{i}") for i, p in enumerate(post)], F.count(F.lit(1)).alias("n")).first()
+    seen = seen.withColumn("told", F.when(F.col("declared").isin(langs), F.col("declared")).when(F.col("declared").isNotNull(), "other"))
+    pairs = settle(seen.filter("told IS NOT NULL").groupBy("told").agg(_sum("text_posterior").alias("counts")), "declared")
+    spoken = pairs.groupBy(F.lit(1)).agg(_sum("counts").alias("counts")).first()
+    numbers = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    spoken = numbers(spoken["counts"] if spoken else [0.0] * n)
+    reliability = pairs.select("told", F.zip_with("counts", spoken, lambda c, all_: F.log((c + DECLARED_SMOOTH / (n + 1)) / (all_ + DECLARED_SMOOTH))).alias("by_declared"))
+    reliability = F.broadcast(reliability) if n * (n + 1) <= MAX_BROADCAST_NUMBERS else reliability
+
     minus = lambda counts: F.zip_with(counts, "text_posterior", lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    out = seen
-    count, own = F.array(*[F.lit(float(every[f"c{i}"] or 0)) for i in range(n)]), F.lit(float(every["n"]))
+    out = seen.join(reliability, "told", "left").withColumn("by_declared", F.coalesce("by_declared", F.array_repeat(F.lit(0.0), n)))
+    count, own = numbers(all_counts), F.lit(float(rows))
     prior = F.transform(minus(count), lambda c: (c + SMOOTH / n) / (own - 1 + SMOOTH))
     for level in ("suffix", "domain", "host"):
-        sums = seen.filter(F.col(level) != "").groupBy(level).agg(F.array(*[F.sum(p) for p in post]).alias("counts"), F.count(F.lit(1)).alias("n"))
-        out = out.withColumn("above", prior).join(sums, level, "left")
+        sums = settle(seen.filter(F.col(level) != "").groupBy(level).agg(_sum("text_posterior").alias("counts"), F.count(F.lit(1)).alias("n")), level)
+        out = _with_counts(out.withColumn("above", prior), sums, level, rows, n)
         prior = F.when(F.col("counts").isNull(), F.col("above")).otherwise(F.zip_with(minus(F.col("counts")), "above", lambda c, a: (c + SMOOTH * a) / (F.col("n") - 1 + SMOOTH)))
         out = out.withColumn("prior", prior).drop("above", "counts", "n")
         prior = F.col("prior")
-    fused = F.zip_with(F.zip_with(F.transform("prior", lambda p: F.log(p)), "likelihood", lambda a, b: a + b), by_declared, lambda a, b: a + b)
+    fused = F.zip_with(F.zip_with(F.transform("prior", lambda p: F.log(p)), "likelihood", lambda a, b: a + b), "by_declared", lambda a, b: a + b)
     out = out.withColumn("fused", fused).withColumn("posterior_all", _normalised(F.col("fused")))
     return out.select("page_id", "url", "declared", "text_lang", named(F.col("posterior_all")).alias("lang"), F.round(F.array_max("posterior_all"), 6).alias("posterior"))
