@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import with_checkpoints
 
 _SCHEMA = "file_name string, kind string, task string, task_no int, name string, ref string, direction string, value string, pos int"
 
@@ -110,24 +109,32 @@ def precedence(found: DataFrame) -> DataFrame:
     return found.filter("kind = 'precedence'").select("file_name", F.col("ref").alias("from_task"), F.col("direction").alias("to_task"), "value")
 
 
+def _levels(rules: pd.DataFrame) -> pd.DataFrame:
+    """Steps of the tasks of one file, by taking off those that wait for none, level by level."""
+    after: dict[str, list[str]] = {}
+    waits: dict[str, int] = {}
+    for a, b in set(zip(rules["from_task"], rules["to_task"], strict=True)):
+        after.setdefault(a, []).append(b)
+        waits[b] = waits.get(b, 0) + 1
+        waits.setdefault(a, 0)
+    step: dict[str, int | None] = dict.fromkeys(waits)
+    now, level = [t for t, n in waits.items() if n == 0], 0
+    while now:
+        following = []
+        for t in now:
+            step[t] = level
+            for b in after.get(t, ()):
+                waits[b] -= 1
+                if waits[b] == 0:
+                    following.append(b)
+        now, level = following, level + 1
+    file_name = rules["file_name"].iloc[0]
+    return pd.DataFrame({"file_name": file_name, "task": list(step), "step": pd.array(list(step.values()), "Int32")})
+
+
 def execution_order(found: DataFrame) -> DataFrame:
     """Tasks with their step: one more than the latest of those before. Tasks on a cycle, or behind one, have none (null).
 
-    A join a step, up to the number of tasks of the file with the most.
+    The rules of a file stand in one text, so a task that has read that can hold them: one shuffle, and work in proportion to the rules.
     """
-    with_checkpoints(found.sparkSession)
-    rules = precedence(found).select("file_name", "from_task", "to_task").distinct()
-    ends = rules.select("file_name", F.col("from_task").alias("task")).unionByName(rules.select("file_name", F.col("to_task").alias("task"))).distinct()
-    sizes = ends.groupBy("file_name").agg(F.count(F.lit(1)).alias("tasks"))
-    level = ends.join(sizes, "file_name").withColumn("step", F.lit(0)).checkpoint()
-    most = level.agg(F.max("tasks")).first()[0] or 0
-    for _ in range(most):
-        at = level.select("file_name", F.col("task").alias("from_task"), "step", "tasks")
-        pushed = at.join(rules, ["file_name", "from_task"]).select("file_name", F.col("to_task").alias("task"), "tasks", F.least(F.col("step") + 1, F.col("tasks")).cast("int").alias("step"))
-        nxt = level.unionByName(pushed).groupBy("file_name", "task", "tasks").agg(F.max("step").alias("step")).checkpoint()
-        done = nxt.exceptAll(level).isEmpty()
-        level = nxt
-        if done:
-            break
-    # a walk of as many steps as there are tasks has met one twice
-    return level.select("file_name", "task", F.when(F.col("step") < F.col("tasks"), F.col("step")).alias("step"))
+    return precedence(found).filter("from_task IS NOT NULL AND to_task IS NOT NULL").select("file_name", "from_task", "to_task").groupBy("file_name").applyInPandas(_levels, "file_name string, task string, step int")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from graphloom.functions.text import content_key, edge_type, node_label, parsed_id
+from graphloom.session import with_checkpoints
 
 MAP = "map<string,string>"
 #: Columns of packages; nodes and edges may be empty, then entities and relationships stand in for them.
@@ -191,6 +192,8 @@ class GraphStore:
         self.recover()
         if self._state(batch) == "committed":
             return False
+        with_checkpoints(self.spark)
+        packages = packages.checkpoint()  # six tables are made of it
         for name, (new, how) in changes(packages).items():
             self._prepare(batch, name, new, how)
         self._mark(batch, "prepared")
