@@ -10,6 +10,7 @@ from graphloom.operators.postings import TextIndex, capped, per_source
 from graphloom.plans.graph_queries import _LINEAGE, _STARTS_SQL, _starts
 from graphloom.plans.tables import EDGES_SQL, NODES_SQL, SOURCE_FILES_SQL, edges, nodes, source_files, table
 from graphloom.session import shared_folder
+from graphloom.sources.vector_store import VectorStore
 
 #: What is searched for: the first eight terms of a question. One holds no fact, one is shorter than a trigram.
 TERMS = ("widget", "brand#1", "customer#00000001", "nation:1", "ECO", "machin", "no such name", "r#")
@@ -100,4 +101,18 @@ LINEAGE_REACH = _reach_sql(f"(SELECT id FROM {_STARTS_SQL} s0)", 3, f"type IN ({
 _FIRST = f"(SELECT id FROM {NODES_SQL} n WHERE contains(lower(name), 'supplier#00000000') ORDER BY name, id LIMIT 1)"
 SEARCH_THEN_EXPAND = f"SELECT r.id, n.label, n.name, r.hops FROM ({_reach_sql(_FIRST, 2)}) r LEFT JOIN {NODES_SQL} n ON n.id = r.id"
 
-QUERIES = {f.__name__: (f, text) for f, text in ((indexed_search, INDEXED_SEARCH), (indexed_search_capped, INDEXED_CAPPED), (package_by_name, PACKAGE_BY_NAME), (catalogued_sources, CATALOGUED), (lineage_reach, LINEAGE_REACH), (search_then_expand, SEARCH_THEN_EXPAND))}
+def stored_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest points by cosine of every fiftieth one, out of a store into which a second batch has put some turned round."""
+    points = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    store = VectorStore(spark, shared_folder(spark, "vectors"))
+    store.upsert(points, 0)
+    store.upsert(points.filter("id % 10 = 3").withColumn("vector", F.transform("vector", lambda x: -x)), 1)
+    return store.search(points.filter("id % 50 = 0").withColumnRenamed("id", "query_id")).withColumn("score", F.round("score", 6))
+
+
+STORED_NEAREST = """WITH p AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN vec_id % 10 = 3 THEN -x ELSE x END) AS v FROM embeddings),
+q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS w FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, id, list_cosine_similarity(v, w) AS c FROM p, q)
+SELECT query_id, id, round(c, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS r FROM s) WHERE r <= 5"""
+
+QUERIES = {f.__name__: (f, text) for f, text in ((indexed_search, INDEXED_SEARCH), (indexed_search_capped, INDEXED_CAPPED), (package_by_name, PACKAGE_BY_NAME), (catalogued_sources, CATALOGUED), (lineage_reach, LINEAGE_REACH), (search_then_expand, SEARCH_THEN_EXPAND), (stored_nearest, STORED_NEAREST))}

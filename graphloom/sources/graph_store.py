@@ -116,11 +116,15 @@ def changes(packages: DataFrame) -> dict[str, tuple[DataFrame, dict]]:
     }
 
 
-class GraphStore:
-    """Tables under a folder that driver and executors share."""
+class MergedTables:
+    """Tables of partitions under a folder that driver and executors share, changed by batches that are prepared, overwritten and committed."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    #: The tables, and the column that they are partitioned by.
+    tables: tuple[str, ...] = ()
+    part = "bucket"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
 
     def _file(self, path: str):
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -130,10 +134,11 @@ class GraphStore:
         fs, target = self._file(path)
         return fs.exists(target)
 
-    def _buckets(self, path: str) -> int:
-        """Buckets that a table has files of."""
+    def _parts(self, path: str) -> set[str]:
+        """Folders of the partitions that a table has files of."""
         fs, target = self._file(path)
-        return sum(s.getPath().getName().startswith("bucket=") for s in fs.listStatus(target)) if fs.exists(target) else 0
+        names = {s.getPath().getName() for s in fs.listStatus(target)} if fs.exists(target) else set()
+        return {n for n in names if n.startswith(f"{self.part}=")}
 
     def _mark(self, batch: int, state: str) -> None:
         fs, target = self._file(f"{self.path}/log/{batch}.{state}")
@@ -145,7 +150,42 @@ class GraphStore:
     def table(self, name: str) -> DataFrame | None:
         """A table of the store; None before its first batch."""
         path = f"{self.path}/{name}"
-        return self.spark.read.parquet(path).drop("bucket") if self._buckets(path) else None
+        return self.spark.read.parquet(path).drop(self.part) if self._parts(path) else None
+
+    def _set_aside(self, batch: int, name: str, rows: DataFrame) -> None:
+        rows.repartition(self.part).write.mode("overwrite").partitionBy(self.part).parquet(f"{self.path}/aside/{batch}/{name}")
+
+    def _overwrite(self, batch: int) -> None:
+        for name in self.tables:
+            if self._parts(f"{self.path}/aside/{batch}/{name}"):
+                rows = self.spark.read.parquet(f"{self.path}/aside/{batch}/{name}")
+                rows.repartition(self.part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.part).parquet(f"{self.path}/{name}")
+        self._finish(batch)
+        self._mark(batch, "committed")
+        fs, target = self._file(f"{self.path}/aside/{batch}")
+        fs.delete(target, True)
+
+    def _finish(self, batch: int) -> None:
+        """What else a batch does before it is committed; it may be done twice."""
+
+    def recover(self) -> None:
+        """End the batch that was prepared but not committed, if there is one."""
+        if self._exists(f"{self.path}/log"):
+            fs, target = self._file(f"{self.path}/log")
+            for status in fs.listStatus(target):
+                batch, _, state = status.getPath().getName().rpartition(".")
+                if state == "prepared" and self._state(int(batch)) == "prepared":
+                    self._overwrite(int(batch))
+
+
+class GraphStore(MergedTables):
+    """Artifacts, entities, edges, rules, transformations and packages, in buckets by the hash of their keys."""
+
+    tables = tuple(KEYS)
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        super().__init__(spark, path)
+        self.buckets = buckets
 
     def _bucket(self, keys: list[str]) -> Column:
         return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
@@ -156,7 +196,7 @@ class GraphStore:
         path = f"{self.path}/{name}"
         if name == "entities":
             new = new.select("id", "name", "entity_type", "entity_label", "source_file", "properties", "end_name", "end_type", "end_file", "bucket")
-        if self._buckets(path):
+        if self._parts(path):
             touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # one number a bucket at most
             old = self.spark.read.parquet(path).filter(F.col("bucket").isin(touched))
         else:
@@ -167,25 +207,7 @@ class GraphStore:
             whole = whole.select("id", F.coalesce("name", "end_name").alias("name"), F.coalesce("entity_type", "end_type").alias("entity_type"), "entity_label", F.coalesce("source_file", "end_file").alias("source_file"), _known("properties").alias("properties"), "bucket")
         else:
             whole = _joined(new, old, keys, merge)
-        whole.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/aside/{batch}/{name}")
-
-    def _overwrite(self, batch: int) -> None:
-        for name in KEYS:
-            if self._buckets(f"{self.path}/aside/{batch}/{name}"):
-                rows = self.spark.read.parquet(f"{self.path}/aside/{batch}/{name}")
-                rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
-        self._mark(batch, "committed")
-        fs, target = self._file(f"{self.path}/aside/{batch}")
-        fs.delete(target, True)
-
-    def recover(self) -> None:
-        """End the batch that was prepared but not committed, if there is one."""
-        if self._exists(f"{self.path}/log"):
-            fs, target = self._file(f"{self.path}/log")
-            for status in fs.listStatus(target):
-                batch, _, state = status.getPath().getName().rpartition(".")
-                if state == "prepared" and self._state(int(batch)) == "prepared":
-                    self._overwrite(int(batch))
+        self._set_aside(batch, name, whole)
 
     def merge(self, packages: DataFrame, batch: int) -> bool:
         """Merge a batch of packages; False if that batch has been merged before. Batches come one after another."""

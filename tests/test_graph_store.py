@@ -98,7 +98,7 @@ def test_a_killed_batch_run_again(spark, tmp_path, frames, monkeypatch, after):
 
         def overwrite(self, batch):
             for name in KEYS:
-                if self._buckets(f"{self.path}/aside/{batch}/{name}"):
+                if self._parts(f"{self.path}/aside/{batch}/{name}"):
                     rows = spark.read.parquet(f"{self.path}/aside/{batch}/{name}")
                     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
                 if name == last:
