@@ -69,30 +69,161 @@ SECTION_HEADERS = {
 #: Extensions of file names in free text.
 FILE_NAME = r"[A-Za-z0-9_\-]+\.(?:cbl|cob|cpy|dtsx|sql|xml|py)"
 
-#: Names of a requested field, by concept.
+#: What a requested field means, by its name.
 CONCEPTS = {
-    "schema": ("schema", "schemas", "table_schema", "db_schema", "schemaname", "table schema"),
-    "database": ("database", "databases", "database_name", "db", "dbname", "catalog", "catalogs", "database name", "server", "server_name", "server name", "connection_manager", "connection manager", "connection"),
-    "table": ("table", "tables", "table_name", "table name", "tablename", "entity", "relation", "relations", "record_group", "record group"),
-    "columns": ("columns", "column_list", "columns_list", "fields", "attributes", "cols", "column list", "variables"),
-    "column": ("column", "field", "field_name", "field name", "variable", "attribute", "col", "column_name", "column name"),
-    "alias": ("alias", "table_alias", "aliases", "table alias"),
-    "column_alias": ("column_alias", "alias_name", "column alias", "output_column"),
-    "source_file": ("source_file", "source file", "source", "file", "filename", "file_name", "script", "sql_file"),
-    "data_type": ("data_type", "datatype", "data type", "type", "column_type", "pic", "picture", "pic_clause", "pic clause"),
-    "nullable": ("nullable", "is_nullable", "null", "is nullable"),
-    "joins": ("join", "joins", "join_condition", "join condition", "relationships", "relationship"),
-    "cte": ("cte", "ctes", "with", "common table expression"),
-    "transformation": ("transformation", "transformations", "expression", "expressions", "formula", "derived", "derived_column", "calculation", "calculations", "logic", "compute", "rule", "business_rule", "business rule", "rules"),
-    "program": ("program", "programs", "program_id", "program id", "program_name", "program name", "cbl_program", "cbl"),
-    "section": ("section", "sections", "division", "divisions", "section_name", "section name"),
-    "group_level": ("group_level", "group level", "level", "level_number"),
-    "copybook": ("copybook", "copybooks", "copy", "cpy", "include"),
-    "package": ("package", "packages", "package_name", "package name", "dtsx"),
-    "task": ("task", "tasks", "data_flow", "data flow", "data_flow_task", "data flow task", "executable", "executables", "component", "component_name", "component name"),
-    "source_table": ("source_table", "source table", "source_query"),
-    "destination_table": ("destination_table", "destination table", "target_table", "target table", "target", "destination"),
-    "column_mapping": ("column_mapping", "column mapping", "mapping", "mappings"),
+    "schema": "schema",
+    "schemas": "schema",
+    "table_schema": "schema",
+    "db_schema": "schema",
+    "schemaname": "schema",
+    "table schema": "schema",
+    "database": "database",
+    "databases": "database",
+    "database_name": "database",
+    "db": "database",
+    "dbname": "database",
+    "catalog": "database",
+    "catalogs": "database",
+    "database name": "database",
+    "server": "database",
+    "server_name": "database",
+    "server name": "database",
+    "connection_manager": "database",
+    "connection manager": "database",
+    "connection": "database",
+    "table": "table",
+    "tables": "table",
+    "table_name": "table",
+    "table name": "table",
+    "tablename": "table",
+    "entity": "table",
+    "relation": "table",
+    "relations": "table",
+    "record_group": "table",
+    "record group": "table",
+    "columns": "columns",
+    "column_list": "columns",
+    "columns_list": "columns",
+    "fields": "columns",
+    "attributes": "columns",
+    "cols": "columns",
+    "column list": "columns",
+    "variables": "columns",
+    "column": "column",
+    "field": "column",
+    "field_name": "column",
+    "field name": "column",
+    "variable": "column",
+    "attribute": "column",
+    "col": "column",
+    "column_name": "column",
+    "column name": "column",
+    "alias": "alias",
+    "table_alias": "alias",
+    "aliases": "alias",
+    "table alias": "alias",
+    "column_alias": "column_alias",
+    "alias_name": "column_alias",
+    "column alias": "column_alias",
+    "output_column": "column_alias",
+    "source_file": "source_file",
+    "source file": "source_file",
+    "source": "source_file",
+    "file": "source_file",
+    "filename": "source_file",
+    "file_name": "source_file",
+    "script": "source_file",
+    "sql_file": "source_file",
+    "data_type": "data_type",
+    "datatype": "data_type",
+    "data type": "data_type",
+    "type": "data_type",
+    "column_type": "data_type",
+    "pic": "data_type",
+    "picture": "data_type",
+    "pic_clause": "data_type",
+    "pic clause": "data_type",
+    "nullable": "nullable",
+    "is_nullable": "nullable",
+    "null": "nullable",
+    "is nullable": "nullable",
+    "join": "joins",
+    "joins": "joins",
+    "join_condition": "joins",
+    "join condition": "joins",
+    "relationships": "joins",
+    "relationship": "joins",
+    "cte": "cte",
+    "ctes": "cte",
+    "with": "cte",
+    "common table expression": "cte",
+    "transformation": "transformation",
+    "transformations": "transformation",
+    "expression": "transformation",
+    "expressions": "transformation",
+    "formula": "transformation",
+    "derived": "transformation",
+    "derived_column": "transformation",
+    "calculation": "transformation",
+    "calculations": "transformation",
+    "logic": "transformation",
+    "compute": "transformation",
+    "rule": "transformation",
+    "business_rule": "transformation",
+    "business rule": "transformation",
+    "rules": "transformation",
+    "program": "program",
+    "programs": "program",
+    "program_id": "program",
+    "program id": "program",
+    "program_name": "program",
+    "program name": "program",
+    "cbl_program": "program",
+    "cbl": "program",
+    "section": "section",
+    "sections": "section",
+    "division": "section",
+    "divisions": "section",
+    "section_name": "section",
+    "section name": "section",
+    "group_level": "group_level",
+    "group level": "group_level",
+    "level": "group_level",
+    "level_number": "group_level",
+    "copybook": "copybook",
+    "copybooks": "copybook",
+    "copy": "copybook",
+    "cpy": "copybook",
+    "include": "copybook",
+    "package": "package",
+    "packages": "package",
+    "package_name": "package",
+    "package name": "package",
+    "dtsx": "package",
+    "task": "task",
+    "tasks": "task",
+    "data_flow": "task",
+    "data flow": "task",
+    "data_flow_task": "task",
+    "data flow task": "task",
+    "executable": "task",
+    "executables": "task",
+    "component": "task",
+    "component_name": "task",
+    "component name": "task",
+    "source_table": "source_table",
+    "source table": "source_table",
+    "source_query": "source_table",
+    "destination_table": "destination_table",
+    "destination table": "destination_table",
+    "target_table": "destination_table",
+    "target table": "destination_table",
+    "target": "destination_table",
+    "destination": "destination_table",
+    "column_mapping": "column_mapping",
+    "column mapping": "column_mapping",
+    "mapping": "column_mapping",
+    "mappings": "column_mapping",
 }
 
 #: SQL functions that are told apart, and words that are never an alias.

@@ -16,7 +16,6 @@ from graphloom.session import with_checkpoints
 
 UNKNOWN = "UNKNOWN / Not specified"
 DEFAULT = ("Schema", "Database", "Table", "Columns")
-_CONCEPT_OF = {name: concept for concept, names in CONCEPTS.items() for name in names}
 #: Concepts of fields and the columns of extracted rows that answer them.
 _ANSWERS = {"schema": "schema_name", "database": "database_name", "table": "table_name", "column": "column", "columns": "columns", "alias": "alias", "source_file": "file_name", "joins": "joins", "transformation": "transformation", "source_table": "table_name", "program": "database_name", "package": "database_name"}
 
@@ -36,14 +35,14 @@ def concept(field: str) -> str:
     name = field.strip().lower()
     forms = (name, re.sub(r"\([^)]*\)", "", name).strip(), re.sub(r"[_-]+", " ", name).strip(), re.sub(r"[\s-]+", "_", name).strip())
     for form in forms:
-        if form in _CONCEPT_OF:
-            return _CONCEPT_OF[form]
+        if form in CONCEPTS:
+            return CONCEPTS[form]
     if re.search(r"[/\\]| or | & ", name):
         for part in filter(None, (p.strip() for p in re.split(r"[/\\&]|\bor\b", name))):
             if (found := concept(part)) != "custom":
                 return found
-    inside = [n for n in _CONCEPT_OF if len(n) >= 3 and n in name]
-    return _CONCEPT_OF[max(inside, key=len)] if inside else "custom"
+    inside = [n for n in CONCEPTS if len(n) >= 3 and n in name]
+    return CONCEPTS[max(inside, key=len)] if inside else "custom"
 
 
 def parse(template: str | list[str] | None) -> Template:
