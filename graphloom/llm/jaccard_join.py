@@ -381,3 +381,18 @@ def jaccard_components(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFram
     inside = full_rows.filter("real").join(named, ["hi", "lo", "n_shingles"]).select("doc_id", "n_shingles", "component_id", *along)
     outside = full_rows.filter("NOT real").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *along)
     return inside.unionByName(outside).select("doc_id", "n_shingles", "component_id", *carried(carry))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM sets s JOIN reached r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm.conversation_trie import OP13_SQL, conversation_trie
 from graphloom.llm.extraction import extract_main_text
 from graphloom.llm.fill_in_middle import OP12_SQL, op12_columns
-from graphloom.llm.jaccard_join import jaccard_components
+from graphloom.llm.jaccard_join import OP11_SQL, jaccard_components
 from graphloom.llm.language import identify_language
 from graphloom.llm.line_dedup import OP2_SQL, op2_columns
 from graphloom.llm.near_dedup import near_duplicates
@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op12_fill_in_middle": OP12_SQL, "op13_conversation_trie": OP13_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op11_jaccard_join": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_conversation_trie": OP13_SQL}

@@ -3,11 +3,12 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 
 import graphloom.llm.jaccard_join as jaccard
-from graphloom.llm.jaccard_join import bitmap, jaccard_components, shingle_set, window_of
+from graphloom.llm.jaccard_join import OP11_SQL, bitmap, jaccard_components, shingle_set, window_of
 
 
 def shingles(text):
@@ -43,8 +44,11 @@ def check(df):
     return got
 
 
-def test_whole_table(documents):
-    assert any(r["component_id"] != r["doc_id"] for r in check(documents))
+def test_whole_table(documents, sf_dir):
+    got = check(documents)
+    assert any(r["component_id"] != r["doc_id"] for r in got)
+    want = duckdb.sql(OP11_SQL.replace("FROM documents", f"FROM '{sf_dir}/documents.parquet'")).fetchall()
+    assert sorted(want) == sorted(map(tuple, got))
 
 
 def families(rng, count, steps, length, first=0):
