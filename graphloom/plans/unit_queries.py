@@ -51,7 +51,7 @@ CHAR_TO_BYTE = "SELECT DISTINCT doc_id::VARCHAR AS file_name, (length(text) * i
 _OPS = ", ".join(f"'{o}'" for o in cobol.OPERATIONS)
 COBOL_UNIT_EVIDENCE = rf"""WITH l AS (SELECT *, upper(regexp_extract(raw, '^\s*([A-Za-z0-9-]+)', 1)) AS word FROM {_NUMBERED} n WHERE NOT contains(raw, E'\r') AND line > begun),
 s AS (SELECT file_name, unit_no, count(*) FILTER (WHERE word IN ({_OPS}) AND substr(raw, 7, 1) <> '*') AS statements, count(*) FILTER (WHERE word = 'MOVE') AS moves, max(head) AS unit FROM l GROUP BY 1, 2)
-SELECT file_name, unit_no, statements, moves, file_moves::BIGINT AS file_moves, statements::INT AS details, concat_ws('; ', file_name || ' CONTAINS_PARAGRAPH ' || unit, CASE WHEN unit IN ('P-0', last_unit) THEN last_unit || ' PERFORMS P-0' END) AS relations
+SELECT file_name, unit_no, statements, moves, file_moves::BIGINT AS file_moves, statements::INT AS details, array_to_string(list_sort([file_name || ' CONTAINS_PARAGRAPH ' || unit] || CASE WHEN unit IN ('P-0', last_unit) THEN [last_unit || ' PERFORMS P-0'] ELSE [] END), '; ') AS relations
 FROM (SELECT *, sum(moves) OVER (PARTITION BY file_name) AS file_moves, last_value(unit) OVER (PARTITION BY file_name ORDER BY unit_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_unit FROM s) q WHERE unit_no > 0"""
 
 
