@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import collapse, suffix_of
 from graphloom.functions.vocabulary import CONCEPTS
-from graphloom.operators.windows import carried_forward
-from graphloom.session import with_checkpoints
+from graphloom.operators.windows import carried_forward, dealt
 
 UNKNOWN = "UNKNOWN / Not specified"
 DEFAULT = ("Schema", "Database", "Table", "Columns")
@@ -74,8 +73,7 @@ def table_rows(sql: DataFrame) -> DataFrame:
     """
     from graphloom.extract import sql as S
 
-    with_checkpoints(sql.sparkSession)
-    words = S.tokens(sql).checkpoint()
+    words = S.tokens(sql)
     sources, owners = S.resolved(sql, words)
     parts = F.split("name", r"\.")
     n = F.size(parts)
@@ -83,7 +81,7 @@ def table_rows(sql: DataFrame) -> DataFrame:
     of_each = owners.filter("column <> '*'").select("file_name", F.explode("candidates").alias("pos"), "column", "status")
     listed = lambda status: F.array_sort(F.collect_set(F.when(F.col("status") == status, F.col("column"))))
     columns = of_each.groupBy("file_name", "pos").agg(listed("owned").alias("column_list"), listed("ambiguous").alias("ambiguous"))
-    joined = S.joins(sql, words=words).groupBy("file_name", F.lower("table").alias("key")).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ON ", "join_type", "condition"))), "; ").alias("joins"))
+    joined = dealt(S.joins(sql, words=words)).groupBy("file_name", F.lower("table").alias("key")).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ON ", "join_type", "condition"))), "; ").alias("joins"))
     full = named.join(columns, ["file_name", "pos"], "left").join(joined, ["file_name", "key"], "left")
     none = F.array().cast("array<string>")
     return full.drop("key").withColumns({c: F.coalesce(c, none) for c in ("column_list", "ambiguous")})

@@ -54,3 +54,29 @@ def test_steps_of_a_cycle_are_unknown(spark):
 def test_broken_package_is_one_error(spark, text):
     found = rows(ssis.facts(inline(spark, {"x.dtsx": text})))
     assert [r["kind"] for r in found] == ["error"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_are_not_shuffled(spark):
+    """Scripts are dealt out before they are cut; windows see the tokens that a clause is told by, not all of them."""
+    found = script(spark, "SELECT a FROM t WHERE b = 1")
+    assert "Window" not in _plan(sql.tokens(found))
+    assert _plan(sql.tables(found)).count("Repartition") == 1
+    words = sql.tokens(found).count()
+    assert sql._until(sql.tokens(found), sql.F.col("word") == "WHERE", sql._starts("GROUP"), False).count() == 1 < words
+
+
+def test_tokens_of_slices(spark, monkeypatch):
+    """Places are those of the script whatever else its slice holds."""
+    from graphloom.extract import sql_tokens as T
+
+    texts = ["SELECT a FROM (SELECT b FROM t) d", "", " \n", "x", "UPDATE c SET e = 1 WHERE (f IN (SELECT g FROM h))"] * 3
+    names = [f"f{i}" for i in range(len(texts))]
+    batch = T.pa.RecordBatch.from_arrays([T.pa.array(names), T.pa.array(texts)], names=["file_name", "text"])
+    whole = [r for b in T.batches(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(T, "SLICE", 1)
+    assert [r for b in T.batches(iter([batch])) for r in b.to_pylist()] == whole
+    assert {r["file_name"] for r in whole if r["parent"]} == {n for n, t in zip(names, texts, strict=True) if "(SELECT" in t}
