@@ -8,24 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.extract.cobol_lines import LINES, NOT_PARAGRAPHS, OPERATIONS, STATEMENTS, line_batches
 from graphloom.functions.text import collapse
-from graphloom.operators.windows import carried_forward, extents, first_of_each
+from graphloom.operators.windows import dealt, first_of_each
 
-OPERATIONS = ("PERFORM", "READ", "WRITE", "MOVE", "OPEN", "CLOSE", "DISPLAY", "IF", "GO", "ADD")
-#: Words that begin a statement, and so end one that runs over several lines.
-STATEMENTS = (*OPERATIONS, "ACCEPT", "CALL", "COMPUTE", "DELETE", "DIVIDE", "ELSE", "EVALUATE", "EXIT", "GOBACK", "INITIALIZE", "INSPECT", "MULTIPLY", "REWRITE", "SET", "START", "STOP", "STRING", "SUBTRACT", "UNSTRING", "WHEN", "END-IF", "END-READ", "END-PERFORM", "END-EVALUATE", "END-WRITE")
-NOT_PARAGRAPHS = ("EXIT", "GOBACK", "END-IF", "END-PERFORM")
-_DIVISION = r"(?i)^\s*(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION"
+__all__ = ["NOT_PARAGRAPHS", "OPERATIONS", "STATEMENTS"]
 
 
 def program_lines(files: DataFrame) -> DataFrame:
-    """Lines with the division they stand in and their first word; comments in column 7 have none."""
-    at = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "raw")
-    rows = files.select("file_name", at).select("file_name", (F.col("at") + 1).alias("line"), F.regexp_replace("raw", r"\s+$", "").alias("raw"))
+    """Lines with the division and section they stand in and their first word; comments in column 7 have none.
+
+    Programs are dealt out, however few parts they were read from; ``cobol_lines`` walks over each where it lies. The first line of a paragraph, of an operation and of statements tells their
+    end and text; a data item its level, name and record.
+    """
     code = F.when(F.substring("raw", 7, 1) == "*", "").otherwise(F.col("raw"))
-    rows = rows.withColumn("code", code).withColumn("word", F.upper(F.regexp_extract("code", r"^\s*([A-Za-z0-9-]+)", 1)))
-    here = F.nullif(F.upper(F.regexp_extract("code", _DIVISION, 1)), F.lit(""))
-    return carried_forward(rows, "file_name", "line", here, "division").withColumn("opens_division", F.coalesce(here != "", F.lit(False)))
+    return dealt(files.select("file_name", "text")).mapInArrow(line_batches, LINES).withColumn("code", code)
 
 
 def divisions(lines: DataFrame) -> DataFrame:
@@ -34,10 +31,7 @@ def divisions(lines: DataFrame) -> DataFrame:
 
 def paragraphs(lines: DataFrame) -> DataFrame:
     """Paragraphs of the PROCEDURE division with their lines: a name alone in area A, up to the next."""
-    name = F.upper(F.regexp_extract("code", r"^ {0,7}([A-Za-z0-9][A-Za-z0-9-]*)\s*\.$", 1))
-    last = F.max("line").over(W.partitionBy("file_name"))
-    heads = lines.withColumns({"last": last, "paragraph": name}).filter(F.col("division") == "PROCEDURE").filter((F.col("paragraph") != "") & ~F.col("paragraph").isin(*NOT_PARAGRAPHS))
-    return extents(heads.select("file_name", "paragraph", F.col("line").alias("start"), "last"), "file_name", "start", F.col("last")).drop("last")
+    return lines.filter("paragraph IS NOT NULL").select("file_name", "paragraph", F.col("line").alias("start"), F.col("paragraph_end").alias("end"))
 
 
 def operations(lines: DataFrame, legacy: bool = False) -> DataFrame:
@@ -46,19 +40,22 @@ def operations(lines: DataFrame, legacy: bool = False) -> DataFrame:
     OPEN and CLOSE take the lines that follow, up to a statement, a paragraph or a line with a full stop. With ``legacy`` a
     line that is a name and a full stop alone counts as a paragraph even there, and is lost.
     """
-    begins = F.col("word").isin(*STATEMENTS)
-    in_area_a = F.col("code").rlike(r"^ {0,7}[A-Za-z0-9][A-Za-z0-9-]*\s*\.$")
-    header = F.col("code").rlike(r"^\s*[A-Za-z0-9][A-Za-z0-9-]*\s*\.$") if legacy else in_area_a
-    code = lines.filter(F.col("division") == "PROCEDURE").filter(~F.col("opens_division") & (F.trim("code") != ""))
-    starts = begins | header
+    told = _cut_by_names(lines) if legacy else lines.filter("op IS NOT NULL")
+    return told.select("file_name", F.when(F.col("op") == "GO", "goto").otherwise(F.lower("op")).alias("op"), collapse(F.coalesce("op_text", "code")).alias("text"), F.col("line").alias("start"), F.col("op_end").alias("end"))
+
+
+def _cut_by_names(lines: DataFrame) -> DataFrame:
+    """The first lines of operations with what belongs to them, where a name and a full stop end one wherever they stand."""
+    starts = F.col("word").isin(*STATEMENTS) | F.col("code").rlike(r"^\s*[A-Za-z0-9][A-Za-z0-9-]*\s*\.$")
+    code = lines.filter(F.col("division") == "PROCEDURE").filter(~F.col("opens_division") & (F.trim("code") != "")).select("file_name", "line", "code", "word", starts.alias("starts"))
     upto = W.partitionBy("file_name").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    grouped = code.withColumns({"starts": starts, "statement": F.sum(starts.cast("int")).over(upto)})
-    within = W.partitionBy("file_name", "statement").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    stopped = F.coalesce(F.max(F.col("code").endswith(".").cast("int")).over(within), F.lit(0)) == 1
-    kept = grouped.withColumns({"stopped": stopped, "op": F.first("word").over(W.partitionBy("file_name", "statement").orderBy("line"))}).filter(~F.col("stopped") & F.col("op").isin(*OPERATIONS))
-    kept = kept.filter(F.col("starts") | F.col("op").isin("OPEN", "CLOSE"))
+    within = W.partitionBy("file_name", "statement").orderBy("line")
+    stopped = F.coalesce(F.max(F.col("code").endswith(".").cast("int")).over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) == 1
+    grouped = code.withColumn("statement", F.sum(F.col("starts").cast("int")).over(upto)).withColumns({"stopped": stopped, "op": F.first("word").over(within)})
+    kept = grouped.filter(~F.col("stopped") & F.col("op").isin(*OPERATIONS)).filter(F.col("starts") | F.col("op").isin("OPEN", "CLOSE"))
     texts = kept.groupBy("file_name", "statement", "op").agg(F.array_sort(F.collect_list(F.struct("line", "code"))).alias("l"))
-    return texts.select("file_name", F.when(F.col("op") == "GO", "goto").otherwise(F.lower("op")).alias("op"), collapse(F.array_join(F.col("l.code"), " ")).alias("text"), F.col("l")[0]["line"].alias("start"), F.element_at("l", -1)["line"].alias("end"))
+    text = F.array_join(F.col("l.code"), " ")
+    return texts.select("file_name", "op", text.alias("op_text"), text.alias("code"), F.col("l")[0]["line"].alias("line"), F.element_at("l", -1)["line"].alias("op_end"))
 
 
 def operation_counts(lines: DataFrame) -> DataFrame:
@@ -73,18 +70,19 @@ def copybooks(lines: DataFrame) -> DataFrame:
 
 def files(lines: DataFrame) -> DataFrame:
     """Files by SELECT with what they are assigned to, then by FD; the first of a name stays."""
-    selected = lines.withColumn("file", F.upper(F.regexp_extract("code", r"(?i)^\s*SELECT\s+(?:OPTIONAL\s+)?([A-Za-z0-9-]+)", 1))).filter("file <> ''")
-    described = lines.withColumn("file", F.upper(F.regexp_extract("code", r"(?i)^\s*FD\s+([A-Za-z0-9-]+)", 1))).filter("file <> ''")
-    assigned = F.nullif(F.upper(F.regexp_extract("code", r"(?i)ASSIGN\s+(?:TO\s+)?[\"']?([A-Za-z0-9-]+)", 1)), F.lit(""))
-    both = selected.select("file_name", "file", "line", assigned.alias("assign"), F.lit(0).alias("rank")).unionByName(described.select("file_name", "file", "line", F.lit(None).cast("string").alias("assign"), F.lit(1).alias("rank")))
+    named = lambda p: F.upper(F.regexp_extract("code", p, 1))
+    assigned = F.nullif(named(r"(?i)ASSIGN\s+(?:TO\s+)?[\"']?([A-Za-z0-9-]+)"), F.lit(""))
+    selects = F.col("word") == "SELECT"
+    said = lines.filter(F.col("word").isin("SELECT", "FD")).withColumn("file", F.when(selects, named(r"(?i)^\s*SELECT\s+(?:OPTIONAL\s+)?([A-Za-z0-9-]+)")).otherwise(named(r"(?i)^\s*FD\s+([A-Za-z0-9-]+)")))
+    both = said.filter("file <> ''").select("file_name", "file", "line", F.when(selects, assigned).alias("assign"), F.when(selects, 0).otherwise(1).alias("rank"))
     return first_of_each(both, ["file_name", "file"], "rank", "line").drop("rank")
 
 
 def variables(lines: DataFrame) -> DataFrame:
     """Data items of levels 01 to 49 and 77 with their picture, and the record that each of them stands in."""
-    level = F.regexp_extract("code", r"(?i)^\s*(\d{2})\s+[A-Za-z0-9-]+", 1)
-    items = lines.filter(F.col("division") == "DATA").withColumns({"level": level, "name": F.upper(F.regexp_extract("code", r"^\s*\d{2}\s+([A-Za-z0-9-]+)", 1)), "picture": F.nullif(F.upper(F.regexp_extract("code", r"(?i)\bPIC(?:TURE)?\s+(?:IS\s+)?([^\s]+?)\.?(?:\s|$)", 1)), F.lit("")), "value": F.nullif(F.regexp_extract("code", r"(?i)\bVALUE\s+(?:IS\s+)?(.+?)\.?$", 1), F.lit(""))}).filter("level <> '' AND level NOT IN ('66', '88')")
-    return carried_forward(items, "file_name", "line", F.when(F.col("level").isin("01", "77"), F.col("name")), "record").select("file_name", "level", "name", "picture", "value", "record", "line")
+    picture = F.nullif(F.upper(F.regexp_extract("code", r"(?i)\bPIC(?:TURE)?\s+(?:IS\s+)?([^\s]+?)\.?(?:\s|$)", 1)), F.lit(""))
+    value = F.nullif(F.regexp_extract("code", r"(?i)\bVALUE\s+(?:IS\s+)?(.+?)\.?$", 1), F.lit(""))
+    return lines.filter("level IS NOT NULL").select("file_name", "level", F.col("item").alias("name"), picture.alias("picture"), value.alias("value"), "record", "line")
 
 
 def records(lines: DataFrame) -> DataFrame:
@@ -124,38 +122,19 @@ def section_views(lines: DataFrame) -> DataFrame:
     return view("structural", lines.filter("division <> 'PROCEDURE'")).unionByName(view("behavioral", lines.filter("division = 'PROCEDURE'"))).unionByName(view("relationship", lines.filter(relation)))
 
 
-#: A literal, a number with a point, a word, any other character.
-_TOKEN = r"\"[^\"]*+\"?|'[^']*+'?|\d+\.\d+|[A-Za-z0-9][A-Za-z0-9-]*+|[^\sA-Za-z0-9]"
-_HEADER = r"^ {0,7}[A-Za-z0-9][A-Za-z0-9-]*(?:\s+SECTION)?\s*\.$"
-
-
 def statements(lines: DataFrame) -> DataFrame:
     """All statements of the PROCEDURE division, wherever in a line they begin: (file_name, paragraph, op, text, start, end).
 
     A statement ends at the next verb, at a full stop or at an END word; words in literals begin none. The paragraph is the last
     one that begins before it.
     """
-    code = F.substring("code", 8, 65)
-    header = F.coalesce((F.col("division") == "PROCEDURE") & F.col("code").rlike(f"(?i){_HEADER}"), F.lit(False))
-    named = carried_forward(lines.withColumn("header", header), "file_name", "line", F.when(header, F.upper(F.regexp_extract("code", r"^\s*([A-Za-z0-9-]+)", 1))), "paragraph")
-    rows = named.filter(F.col("division") == "PROCEDURE").filter(~F.col("opens_division") & ~F.col("header"))
-    told = rows.select("file_name", "paragraph", "line", F.posexplode(F.regexp_extract_all(code, F.lit(_TOKEN), F.lit(0))).alias("at", "token")).withColumn("word", F.upper("token"))
-    begins = F.col("word").isin(*STATEMENTS) & ~F.col("word").startswith("END-")
-    ends = (F.col("token") == ".") | F.col("word").startswith("END-")
-    upto = W.partitionBy("file_name").orderBy("line", "at").rowsBetween(W.unboundedPreceding, 0)
-    numbered = told.withColumn("number", F.sum((begins | ends).cast("int")).over(upto)).filter(~ends)
-    texts = numbered.groupBy("file_name", "number").agg(F.array_sort(F.collect_list(F.struct("line", "at", "token", "paragraph"))).alias("t"))
-    first = F.upper(F.col("t")[0]["token"])
-    return texts.filter(first.isin(*STATEMENTS)).select("file_name", F.col("t")[0]["paragraph"].alias("paragraph"), F.lower(first).alias("op"), F.array_join(F.col("t.token"), " ").alias("text"), F.col("t")[0]["line"].alias("start"), F.element_at("t", -1)["line"].alias("end"))
+    return lines.select("file_name", "line", F.explode("statements").alias("s")).select("file_name", "s.paragraph", "s.op", "s.text", F.col("line").alias("start"), "s.end")
 
 
 def file_records(lines: DataFrame) -> DataFrame:
     """The records of each file: items of level 01 after its FD or SD, up to the next one or the end of the FILE SECTION."""
-    described = F.nullif(F.upper(F.regexp_extract("code", r"(?i)^\s*[FS]D\s+([A-Za-z0-9-]+)", 1)), F.lit(""))
-    leaves = F.col("code").rlike(r"(?i)^\s*[A-Za-z-]+\s+SECTION\b") | F.col("opens_division")
-    asked = carried_forward(lines, "file_name", "line", F.when(leaves, "").otherwise(described), "file")
     record = F.upper(F.regexp_extract("code", r"^\s*01\s+([A-Za-z0-9-]+)", 1))
-    return asked.withColumn("record", record).filter("division = 'DATA' AND file <> '' AND record <> ''").select("file_name", "file", "record", "line")
+    return lines.filter("division = 'DATA' AND file <> ''").select("file_name", "file", record.alias("record"), "line").filter("record <> ''")
 
 
 def links(lines: DataFrame) -> DataFrame:
@@ -166,26 +145,27 @@ def links(lines: DataFrame) -> DataFrame:
     that hold their names. A paragraph PERFORMS another, with THRU all from the first to the last; it GOES_TO another.
     """
     said = statements(lines).withColumn("t", F.upper("text"))
-    program = F.col("file_name")
     name = lambda p: F.regexp_extract("t", p, 1)
-    row = lambda rows, source, kind, target: rows.select("file_name", source.alias("source"), F.lit(kind).alias("type"), target.alias("target"))
+    link = lambda source, kind, target: F.struct(source.alias("source"), F.lit(kind).alias("type"), target.alias("target"))
+    program, source = F.col("file_name"), F.coalesce("paragraph", "file_name")
+
+    # what a statement says alone
+    first, last = name(r"^PERFORM ([A-Z0-9-]+)"), F.nullif(name(r"^PERFORM [A-Z0-9-]+ (?:THRU|THROUGH) ([A-Z0-9-]+)"), F.lit(""))
+    performs = (F.col("op") == "perform") & ~first.isin("UNTIL", "VARYING", "WITH", "TEST", "") & ~F.col("t").rlike("^PERFORM [A-Z0-9-]+ TIMES")
+    call = F.regexp_replace(name(r"""^CALL ("[^"]*"|'[^']*'|[A-Z0-9-]+)"""), "[\"']", "")
+    alone = F.when(F.col("op") == "read", link(program, "READS", name(r"^READ ([A-Z0-9-]+)"))).when(F.col("op") == "call", link(program, "CALLS", call)).when(F.col("op") == "go", link(source, "GOES_TO", name(r"^GO (?:TO )?([A-Z0-9-]+)"))).when(performs & last.isNull(), link(source, "PERFORMS", first))
+    plain = said.filter(F.col("op").isin("read", "call", "go", "perform")).select("file_name", alone.alias("l")).filter("l IS NOT NULL").select("file_name", "l.*")
 
     written = said.filter(F.col("op").isin("write", "rewrite")).select("file_name", name(r"^(?:RE)?WRITE ([A-Z0-9-]+)").alias("record")).distinct()
     owners = file_records(lines).select("file_name", "file", "record").unionByName(files(lines).select("file_name", "file", F.col("file").alias("record"))).dropDuplicates(["file_name", "record"])
-    tied = written.join(owners, ["file_name", "record"], "left")
-    found = tied.filter(F.col("file").isNotNull())
-    writes = row(tied, program, "WRITES", F.coalesce("file", "record"))
-    reads = row(said.filter("op = 'read'"), program, "READS", name(r"^READ ([A-Z0-9-]+)"))
-    calls = row(said.filter("op = 'call'"), program, "CALLS", F.regexp_replace(name(r"""^CALL ("[^"]*"|'[^']*'|[A-Z0-9-]+)"""), "[\"']", ""))
-
-    source = F.coalesce("paragraph", "file_name")
-    performs = said.filter("op = 'perform'").select("file_name", source.alias("source"), name(r"^PERFORM ([A-Z0-9-]+)").alias("first"), F.nullif(name(r"^PERFORM [A-Z0-9-]+ (?:THRU|THROUGH) ([A-Z0-9-]+)"), F.lit("")).alias("last"), F.col("t").rlike("^PERFORM [A-Z0-9-]+ TIMES").alias("times"))
-    performs = performs.filter(~F.col("first").isin("UNTIL", "VARYING", "WITH", "TEST", "") & ~F.col("times"))
-    alone = performs.filter("last IS NULL").select("file_name", "source", F.lit("PERFORMS").alias("type"), F.col("first").alias("target"))
-    placed = paragraphs(lines).select("file_name", "paragraph", F.row_number().over(W.partitionBy("file_name").orderBy("start")).alias("n"))
+    tied = F.array(link(program, "WRITES", F.coalesce("file", "record")), F.when(F.col("file").isNotNull(), link(F.col("file"), "WRITES_RECORD", F.col("record"))))
+    writes = written.join(owners, ["file_name", "record"], "left").select("file_name", F.explode(F.array_compact(tied)).alias("l")).select("file_name", "l.*")
+
+    # from the first to the last of a range of paragraphs, or to both where they are none
+    placed = lines.filter("paragraph IS NOT NULL").select("file_name", "paragraph", F.col("paragraph_no").alias("n"))
     at = lambda c, n: placed.select("file_name", F.col("paragraph").alias(c), F.col("n").alias(n))
-    ranged = performs.filter("last IS NOT NULL").join(at("first", "a"), ["file_name", "first"], "left").join(at("last", "b"), ["file_name", "last"], "left")
-    between = ranged.filter("a <= b").select("file_name", "source", F.explode(F.sequence("a", "b")).alias("n")).join(placed, ["file_name", "n"]).select("file_name", "source", F.lit("PERFORMS").alias("type"), F.col("paragraph").alias("target"))
-    ends = ranged.filter("a IS NULL OR b IS NULL OR a > b").select("file_name", "source", F.lit("PERFORMS").alias("type"), F.explode(F.array("first", "last")).alias("target"))
-    goes = row(said.filter("op = 'go'"), source, "GOES_TO", name(r"^GO (?:TO )?([A-Z0-9-]+)"))
-    return reduce(DataFrame.unionByName, [writes, row(found, F.col("file"), "WRITES_RECORD", F.col("record")), reads, calls, alone, between, ends, goes]).filter("target <> ''").distinct()
+    ranges = said.filter(performs & last.isNotNull()).select("file_name", source.alias("source"), first.alias("first"), last.alias("last"))
+    ranged = ranges.join(at("first", "a"), ["file_name", "first"], "left").join(at("last", "b"), ["file_name", "last"], "left")
+    spread = ranged.withColumn("n", F.explode(F.when(F.col("a") <= F.col("b"), F.sequence("a", "b")).otherwise(F.array(F.lit(None).cast("int")))))
+    between = spread.join(placed, ["file_name", "n"], "left").select("file_name", "source", F.lit("PERFORMS").alias("type"), F.explode(F.when(F.col("n").isNull(), F.array("first", "last")).otherwise(F.array("paragraph"))).alias("target"))
+    return reduce(DataFrame.unionByName, [plain, writes, between]).filter("target <> ''").distinct()

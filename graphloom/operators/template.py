@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import collapse, suffix_of
 from graphloom.functions.vocabulary import CONCEPTS
-from graphloom.operators.windows import carried_forward, dealt
+from graphloom.operators.windows import dealt
 
 UNKNOWN = "UNKNOWN / Not specified"
 DEFAULT = ("Schema", "Database", "Table", "Columns")
@@ -95,8 +95,7 @@ def program_rows(programs: DataFrame) -> DataFrame:
     from graphloom.extract import cobol
 
     lines = cobol.program_lines(programs)
-    section = F.nullif(F.upper(F.regexp_extract("code", r"(?i)^\s*([A-Za-z0-9-]+)\s+SECTION\b", 1)), F.lit(""))
-    sections = carried_forward(lines, "file_name", "line", section, "section").select("file_name", "line", "section")
+    sections = lines.select("file_name", "line", "section")
     program = lines.groupBy("file_name").agg(F.max(F.nullif(F.upper(F.regexp_extract("code", r"(?i)PROGRAM-ID\.\s*([A-Za-z0-9-]+)", 1)), F.lit(""))).alias("program"))
     computed = programs.select("file_name", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)\bCOMPUTE\s+([A-Za-z0-9-]++[^.]*+)"), F.lit(1))).alias("formula"))
     formulas = computed.select("file_name", F.upper(F.regexp_extract("formula", r"^([A-Za-z0-9-]+)", 1)).alias("name"), collapse(F.col("formula")).alias("formula"))
