@@ -10,12 +10,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.extract import cobol
+from graphloom.extract.cobol_lines import NOT_UNITS, UNITS, unit_batches
 from graphloom.operators.joins import contained
+from graphloom.operators.windows import dealt
+from graphloom.session import settled
+
+__all__ = ["NOT_UNITS"]
 
 #: A line with its end, which may be of any of three kinds; the last one may have none.
 _LINE = r"[^\r\n]*+(?:\r\n|\n|\r)|[^\r\n]++"
-_PARAGRAPH = r"^ {0,7}([A-Za-z0-9][A-Za-z0-9-]*)\.\s*$"
-NOT_UNITS = ("SECTION", "DIVISION")
 
 
 def line_places(files: DataFrame) -> DataFrame:
@@ -47,18 +50,7 @@ def units(files: DataFrame) -> DataFrame:
 
     A paragraph reaches up to the next one; its lines count up to there, its text and places are without white space at either end.
     """
-    of_file = W.partitionBy("file_name")
-    begun = F.min(F.when(F.contains(F.upper("raw"), F.lit("PROCEDURE DIVISION")), F.col("line"))).over(of_file)
-    name = F.upper(F.regexp_extract(F.regexp_replace("raw", r"[\r\n]+$", ""), _PARAGRAPH, 1))
-    lines = line_places(files).withColumns({"begun": begun, "name": name}).filter("line > begun")
-    heads = F.when((F.col("name") != "") & ~F.col("name").isin(*NOT_UNITS), F.col("name"))
-    numbered = lines.withColumn("head", heads).withColumn("unit_no", F.count("head").over(of_file.orderBy("line").rowsBetween(W.unboundedPreceding, 0)))
-    whole = F.array_sort(F.collect_list(F.struct("line", "raw")))
-    found = numbered.filter("unit_no > 0").groupBy("file_name", "unit_no").agg(F.max("head").alias("unit"), F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.min("start_offset").alias("offset"), F.min("start_byte").alias("byte"), F.array_join(whole["raw"], "").alias("raw"))
-    indent = F.length("raw") - F.length(F.ltrim("raw"))  # blanks, a byte each
-    placed = found.withColumns({"indent": indent, "text": F.regexp_replace(F.ltrim("raw"), r"(?U)\s+\z", "")})
-    start, byte = F.col("offset") + F.col("indent"), F.col("byte") + F.col("indent")
-    return placed.select("file_name", "unit_no", "unit", "start_line", "end_line", start.alias("start_offset"), (start + F.length("text")).alias("end_offset"), byte.alias("start_byte"), (byte + F.octet_length("text")).alias("end_byte"), "text")
+    return dealt(files.select("file_name", "text")).mapInArrow(unit_batches, UNITS)
 
 
 def relations_of(lines: DataFrame, found: DataFrame) -> DataFrame:
@@ -76,7 +68,7 @@ def unit_evidence(files: DataFrame) -> DataFrame:
     Statements go to units by the places of both alone: an interval join on the program and on cells of lines. One that no unit
     contains is counted for the program only.
     """
-    lines = cobol.program_lines(files)
+    lines = settled(cobol.program_lines(files), "program-lines")  # read for each kind of evidence
     found = units(files)
     operations = cobol.operations(lines)
     extents = found.select("file_name", "unit_no", F.col("start_line").alias("unit_start"), F.col("end_line").alias("unit_end"))
