@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import collapse, suffix_of
 from graphloom.functions.vocabulary import CONCEPTS
-from graphloom.operators.windows import dealt
+from graphloom.operators.windows import dealt, matched
 
 UNKNOWN = "UNKNOWN / Not specified"
 DEFAULT = ("Schema", "Database", "Table", "Columns")
@@ -82,7 +82,7 @@ def table_rows(sql: DataFrame) -> DataFrame:
     listed = lambda status: F.array_sort(F.collect_set(F.when(F.col("status") == status, F.col("column"))))
     columns = of_each.groupBy("file_name", "pos").agg(listed("owned").alias("column_list"), listed("ambiguous").alias("ambiguous"))
     joined = dealt(S.joins(sql, words=words)).groupBy("file_name", F.lower("table").alias("key")).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ON ", "join_type", "condition"))), "; ").alias("joins"))
-    full = named.join(columns, ["file_name", "pos"], "left").join(joined, ["file_name", "key"], "left")
+    full = matched(matched(named, columns, ["file_name", "pos"], "left"), joined, ["file_name", "key"], "left")
     none = F.array().cast("array<string>")
     return full.drop("key").withColumns({c: F.coalesce(c, none) for c in ("column_list", "ambiguous")})
 
