@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.windows import matched
 
 _SCHEMA = "file_name string, kind string, task string, task_no int, name string, ref string, direction string, value string, pos int"
 
@@ -88,7 +89,7 @@ def components(found: DataFrame) -> DataFrame:
     last = found.filter("kind = 'property' AND ref IS NOT NULL").groupBy("file_name", "task_no", "name", "ref").agg(F.max_by("value", "pos").alias("value"))
     items = last.groupBy("file_name", "task_no", "name").agg(F.map_from_entries(F.collect_list(F.struct("ref", "value"))).alias("properties"))
     rows = found.filter("kind = 'component'").select("file_name", "task", "task_no", "name", F.col("ref").alias("component_class"))
-    return rows.join(items, ["file_name", "task_no", "name"], "left")
+    return matched(rows, items, ["file_name", "task_no", "name"], "left")
 
 
 def flows(found: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def flows(found: DataFrame) -> DataFrame:
     ends = found.filter("kind = 'end'").select("file_name", "task", "task_no", "name", "ref", "direction").distinct()
     out = ends.filter("direction = 'output'").select("file_name", "task", "task_no", "ref", F.col("name").alias("source"))
     into = ends.filter("direction = 'input'").select("file_name", "task_no", "ref", F.col("name").alias("target"))
-    return out.join(into, ["file_name", "task_no", "ref"]).filter("source <> target").select("file_name", "task", "source", "target", F.col("ref").alias("path"))
+    return matched(out, into, ["file_name", "task_no", "ref"]).filter("source <> target").select("file_name", "task", "source", "target", F.col("ref").alias("path"))
 
 
 def sql_statements(found: DataFrame) -> DataFrame:

@@ -99,9 +99,9 @@ def program_rows(programs: DataFrame) -> DataFrame:
     program = lines.groupBy("file_name").agg(F.max(F.nullif(F.upper(F.regexp_extract("code", r"(?i)PROGRAM-ID\.\s*([A-Za-z0-9-]+)", 1)), F.lit(""))).alias("program"))
     computed = programs.select("file_name", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)\bCOMPUTE\s+([A-Za-z0-9-]++[^.]*+)"), F.lit(1))).alias("formula"))
     formulas = computed.select("file_name", F.upper(F.regexp_extract("formula", r"^([A-Za-z0-9-]+)", 1)).alias("name"), collapse(F.col("formula")).alias("formula"))
-    items = cobol.variables(lines).join(formulas, ["file_name", "name"], "left")
+    items = matched(cobol.variables(lines), formulas, ["file_name", "name"], "left")
     groups = items.groupBy("file_name", "record").agg(F.min("line").alias("line"), F.array_sort(F.collect_set(F.struct("line", "name"))).alias("items"), F.array_join(F.array_sort(F.collect_set("formula")), "; ").alias("formulas"))
-    named = groups.join(sections, ["file_name", "line"]).join(program, "file_name")
+    named = matched(matched(groups, sections, ["file_name", "line"]), program, "file_name")
     none = F.lit(None).cast("string")
     return named.select("file_name", F.col("record").alias("table_name"), F.col("section").alias("schema_name"), F.col("program").alias("database_name"), none.alias("alias"), F.filter(F.col("items.name"), lambda x: x != F.col("record")).alias("column_list"), none.alias("joins"), F.nullif("formulas", F.lit("")).alias("transformation"))
 
@@ -113,7 +113,7 @@ def package_rows(packages: DataFrame) -> DataFrame:
     found = ssis.facts(packages)
     package = found.filter("kind = 'package'").select("file_name", F.col("name").alias("database_name"))
     statements = ssis.sql_statements(found).groupBy("file_name", "task", "name").agg(F.array_join(F.array_sort(F.collect_set("sql")), "; ").alias("transformation"))
-    rows = ssis.components(found).join(statements, ["file_name", "task", "name"], "left").join(package, "file_name", "left")
+    rows = matched(matched(ssis.components(found), statements, ["file_name", "task", "name"], "left"), package, "file_name", "left")
     none = F.lit(None).cast("string")
     columns = F.coalesce(F.array_sort(F.map_keys("properties")), F.array().cast("array<string>"))
     return rows.select("file_name", F.col("name").alias("table_name"), F.col("task").alias("schema_name"), "database_name", none.alias("alias"), columns.alias("column_list"), none.alias("joins"), "transformation")
