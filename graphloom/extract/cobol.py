@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.extract.cobol_lines import LINES, NOT_PARAGRAPHS, OPERATIONS, STATEMENTS, line_batches
 from graphloom.functions.text import collapse
-from graphloom.operators.windows import dealt, first_of_each
+from graphloom.operators.windows import dealt, first_of_each, matched
 
 __all__ = ["NOT_PARAGRAPHS", "OPERATIONS", "STATEMENTS"]
 
@@ -90,7 +90,7 @@ def records(lines: DataFrame) -> DataFrame:
     items = variables(lines)
     heads = items.filter("level = '01' AND picture IS NULL").select("file_name", F.col("name").alias("record"), F.col("line").alias("at"))
     fields = items.filter("level <> '01' AND level <> '77' AND picture IS NOT NULL").groupBy("file_name", "record").agg(F.array_sort(F.collect_list(F.struct("line", "name", "picture"))).alias("f"))
-    return heads.join(fields, ["file_name", "record"], "left").select("file_name", "record", F.col("at").alias("line"), F.coalesce(F.col("f.name"), F.array().cast("array<string>")).alias("fields"))
+    return matched(heads, fields, ["file_name", "record"], "left").select("file_name", "record", F.col("at").alias("line"), F.coalesce(F.col("f.name"), F.array().cast("array<string>")).alias("fields"))
 
 
 def relationships(lines: DataFrame, legacy: bool = False) -> DataFrame:
