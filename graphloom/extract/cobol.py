@@ -159,13 +159,13 @@ def links(lines: DataFrame) -> DataFrame:
     written = said.filter(F.col("op").isin("write", "rewrite")).select("file_name", name(r"^(?:RE)?WRITE ([A-Z0-9-]+)").alias("record")).distinct()
     owners = file_records(lines).select("file_name", "file", "record").unionByName(files(lines).select("file_name", "file", F.col("file").alias("record"))).dropDuplicates(["file_name", "record"])
     tied = F.array(link(program, "WRITES", F.coalesce("file", "record")), F.when(F.col("file").isNotNull(), link(F.col("file"), "WRITES_RECORD", F.col("record"))))
-    writes = written.join(owners, ["file_name", "record"], "left").select("file_name", F.explode(F.array_compact(tied)).alias("l")).select("file_name", "l.*")
+    writes = matched(written, owners, ["file_name", "record"], "left").select("file_name", F.explode(F.array_compact(tied)).alias("l")).select("file_name", "l.*")
 
     # from the first to the last of a range of paragraphs, or to both where they are none
     placed = lines.filter("paragraph IS NOT NULL").select("file_name", "paragraph", F.col("paragraph_no").alias("n"))
     at = lambda c, n: placed.select("file_name", F.col("paragraph").alias(c), F.col("n").alias(n))
     ranges = said.filter(performs & last.isNotNull()).select("file_name", source.alias("source"), first.alias("first"), last.alias("last"))
-    ranged = ranges.join(at("first", "a"), ["file_name", "first"], "left").join(at("last", "b"), ["file_name", "last"], "left")
+    ranged = matched(matched(ranges, at("first", "a"), ["file_name", "first"], "left"), at("last", "b"), ["file_name", "last"], "left")
     spread = ranged.withColumn("n", F.explode(F.when(F.col("a") <= F.col("b"), F.sequence("a", "b")).otherwise(F.array(F.lit(None).cast("int")))))
-    between = spread.join(placed, ["file_name", "n"], "left").select("file_name", "source", F.lit("PERFORMS").alias("type"), F.explode(F.when(F.col("n").isNull(), F.array("first", "last")).otherwise(F.array("paragraph"))).alias("target"))
+    between = matched(spread, placed, ["file_name", "n"], "left").select("file_name", "source", F.lit("PERFORMS").alias("type"), F.explode(F.when(F.col("n").isNull(), F.array("first", "last")).otherwise(F.array("paragraph"))).alias("target"))
     return reduce(DataFrame.unionByName, [plain, writes, between]).filter("target <> ''").distinct()

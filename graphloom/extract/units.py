@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.extract import cobol
 from graphloom.extract.cobol_lines import NOT_UNITS, UNITS, unit_batches
 from graphloom.operators.joins import contained
-from graphloom.operators.windows import dealt
+from graphloom.operators.windows import dealt, matched
 from graphloom.session import settled
 
 __all__ = ["NOT_UNITS"]
@@ -58,7 +58,7 @@ def relations_of(lines: DataFrame, found: DataFrame) -> DataFrame:
     held = cobol.paragraphs(lines).select("file_name", F.col("file_name").alias("source"), F.lit("CONTAINS_PARAGRAPH").alias("type"), F.col("paragraph").alias("target"))
     all_links = cobol.links(lines).unionByName(held).distinct()
     ends = all_links.withColumn("unit", F.explode(F.array_distinct(F.array(F.upper("source"), F.upper("target")))))
-    return ends.join(found.select("file_name", "unit_no", "unit"), ["file_name", "unit"])
+    return matched(ends, found.select("file_name", "unit_no", "unit"), ["file_name", "unit"])
 
 
 def unit_evidence(files: DataFrame) -> DataFrame:
@@ -77,6 +77,7 @@ def unit_evidence(files: DataFrame) -> DataFrame:
     own = ["file_name", "unit_no"]
     details = inside.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("start", "end", "op", "text"))).alias("operations"))
     relations = relations_of(lines, found).groupBy(*own).agg(F.array_sort(F.collect_set(F.struct("source", "type", "target"))).alias("relations"))
-    full = found.join(counts(inside, own, "unit_counts"), own, "left").join(details, own, "left").join(relations, own, "left").join(counts(operations, ["file_name"], "file_counts"), "file_name", "left")
+    full = matched(matched(matched(found, counts(inside, own, "unit_counts"), own, "left"), details, own, "left"), relations, own, "left")
+    full = matched(full, counts(operations, ["file_name"], "file_counts"), "file_name", "left")
     empty = lambda c: F.coalesce(c, F.array().cast(full.schema[c].dataType))
     return full.withColumns({"operations": empty("operations"), "relations": empty("relations")})
