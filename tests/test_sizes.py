@@ -5,7 +5,7 @@ import pytest
 from graphloom.plans import registry
 
 #: Queries on files whose joins are all between rows of the same files.
-QUERIES = ("column_catalog", "structured_extraction", "template_by_file", "cobol_relationships", "cobol_links", "sql_table_columns")
+QUERIES = ("column_catalog", "structured_extraction", "template_by_file", "cobol_relationships", "cobol_links", "sql_table_columns", "sql_business_rules", "cross_file_flows")
 
 
 @pytest.mark.parametrize("name", QUERIES)
