@@ -136,7 +136,7 @@ TYPE_DISTRIBUTION = f"SELECT CASE WHEN source_file IN ('region', 'nation') THEN
 
 
 def neighbourhood_2hop(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbourhood(edges(spark, d), _starts(spark), 2)
+    return graph.neighbourhood(edges(spark, d, once=False), _starts(spark), 2)
 
 
 NEIGHBOURHOOD = f"""WITH l AS (SELECT DISTINCT "at", "to" FROM {SYMMETRIC_SQL} s), h1 AS (SELECT s.id AS start, l."to" AS id FROM {_STARTS_SQL} s JOIN l ON s.id = l."at"), h2 AS (SELECT start, l."to" AS id FROM h1 JOIN l ON h1.id = l."at")

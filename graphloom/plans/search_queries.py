@@ -80,7 +80,7 @@ SELECT answer, source FROM t WHERE CASE WHEN got THEN known ELSE NOT contains(lo
 
 def lineage_reach(spark: SparkSession, d: str) -> DataFrame:
     """All that the starts reach by edges of lineage within three hops, with the fewest."""
-    return graph.reached(edges(spark, d), _starts(spark), 3, _LINEAGE)
+    return graph.reached(edges(spark, d, once=False), _starts(spark), 3, _LINEAGE)
 
 
 def search_then_expand(spark: SparkSession, d: str) -> DataFrame:
