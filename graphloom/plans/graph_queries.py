@@ -144,7 +144,7 @@ SELECT DISTINCT start, id FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) WHE
 
 
 def lineage_3hop(spark: SparkSession, d: str) -> DataFrame:
-    return graph.lineage(edges(spark, d), _starts(spark).filter("id LIKE 'ORDER%'"), _LINEAGE, 3)
+    return graph.lineage(edges(spark, d, once=False), _starts(spark).filter("id LIKE 'ORDER%'"), _LINEAGE, 3)
 
 
 LINEAGE = f"""WITH RECURSIVE l AS (SELECT "at", "to", src || '>' || type || '>' || dst AS e FROM {SYMMETRIC_SQL} s WHERE type IN ({', '.join(repr(t) for t in _LINEAGE)})),
