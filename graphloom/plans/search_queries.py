@@ -87,7 +87,7 @@ def search_then_expand(spark: SparkSession, d: str) -> DataFrame:
     """The first node by name that holds a term, and what lies within two edges of it."""
     found = nodes(spark, d)
     hits = found.filter(graph.holds([F.col("name")], "supplier#00000000")).select("id", F.col("name").alias("at"))
-    return graph.searched_then_reached(found, edges(spark, d), hits, 2)
+    return graph.searched_then_reached(found, edges(spark, d, once=False), hits, 2)
 
 
 def _reach_sql(starts: str, hops: int, types: str = "true") -> str:
